@@ -41,31 +41,49 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+#: Rounds of comparing with one member of each bucket before all remaining pairs are compared.
+STAR_ROUNDS = 3
+
+
 def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(node, comp) for nodes linked by verified pairs of a common bucket.
 
     ``members`` has (bucket, node); ``verify`` keeps the pairs (a, b) that hold.
-    First every member is compared to its bucket's least node.  Then pairs of
-    one bucket whose nodes are still in different components are compared: all
-    of those, so the components are those of all verified pairs, while a
-    group that has become one component costs no more.  In a bucket of several
-    components only members outside the largest are paired with the others.
+    First every member is compared to its bucket's head, the node that meets
+    most others in all its buckets: an original heads the buckets of its
+    copies.  In further rounds the best connected node outside a bucket's
+    largest component is its head.  At last all pairs of one bucket whose nodes
+    are still in different components are compared, so the components are
+    those of all verified pairs, while a group that has become one component
+    costs no more.
     """
-    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head != last").drop("last")
-    multi = scratch.write(members.join(heads, "bucket"), "members")
-    first = scratch.write(multi.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    held = scratch.write(verify(first), "links")
-    comp = scratch.write(components(held, scratch), "components")
-    labelled = multi.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    mixed = scratch.write(labelled.join(major, "bucket"), "mixed")
-    x = mixed.where("comp != major").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    y = mixed.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    # Distinct pairs are taken before writing; those compared before have failed and are left out.
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (x["cx"] != y["cy"])).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = scratch.write(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = scratch.write(verify(second), "links")
-    if more.isEmpty():
-        return comp
-    return components(comp.where("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")), scratch)
+    often = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    multi = scratch.write(members.join(often, "bucket"), "members")
+    degrees = multi.groupBy("node").agg(F.sum("n").alias("degree"))
+    multi = scratch.write(multi.join(degrees, "node").select("bucket", "node", "degree"), "members")
+    heads = multi.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("head"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    done = scratch.write(multi.join(heads, "bucket").where("node != head").select(*pair("head", "node")).distinct(), "pairs")
+    links = scratch.write(verify(done), "links")
+    comp = scratch.write(components(links, scratch), "components")
+    for round_ in range(1, STAR_ROUNDS + 1):
+        labelled = multi.join(comp, "node", "left").select("bucket", "node", "degree", F.coalesce("comp", "node").alias("comp"))
+        sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+        major = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        mixed = scratch.write(labelled.join(major, "bucket"), "mixed")
+        if mixed.isEmpty():
+            break
+        outside = mixed.where("comp != major")
+        if round_ < STAR_ROUNDS:
+            outside = outside.groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), F.struct("degree", "node")).alias("h")).select("bucket", "h.*")
+        x = outside.select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
+        y = mixed.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"))
+        pairs = x.join(y, (x["bucket"] == y["bucket"]) & (x["cx"] != y["cy"])).select(*pair("x", "y")).distinct()
+        new = scratch.write(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        more = scratch.write(verify(new), "links")
+        if not more.isEmpty():
+            stars = comp.where("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+            comp = scratch.write(components(stars.unionByName(more.select("a", "b")), scratch), "components")
+        done = done.unionByName(new)
+        scratch.drop(mixed)
+    return comp
