@@ -15,6 +15,7 @@ import base64
 import re
 import sys
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -30,20 +31,23 @@ SEQUENCE = 512
 STRIDE = 8192
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Words whose ids a Python worker remembers.
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 1_000_000
 _ROUNDS = 4
 
 # Fixed value: the split pattern of the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same for texts without the characters of _odd(), in terms of the standard library.
 _PLAIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Stands for a line end inside a chunk.
+_LINE = "\ue000"
+_SPACES = re.compile(r"\s\s")
 
 
 @cache
-def _odd() -> re.Pattern:
+def _odd() -> frozenset[str]:
     """Characters that the two patterns class unlike: numbers that are no decimal digits, and separators U+001C to U+001F."""
-    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
-    return re.compile("[\x1c-\x1f" + "".join(map(chr, points)) + "]")
+    numbers = (chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
+    return frozenset([*map(chr, range(0x1C, 0x20)), *numbers])
 
 
 class Tokenizer:
@@ -58,26 +62,46 @@ class Tokenizer:
         self.end = max(ranks.values()) + 1
         if self.end >= 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        piece = self._whole._core_bpe.encode_single_piece
+        piece, pieces = self._whole._core_bpe.encode_single_piece, _PLAIN.findall
 
         class Known(dict):
-            def __missing__(self, word):
+            """Ids of what stands between two spaces, with the space or line end before it."""
+
+            def __missing__(self, chunk):
                 if len(self) >= _KNOWN_WORDS:
                     self.clear()
-                out = self[word] = np.array(piece(word.encode()), "<u2").tobytes()
+                text = "\n" + chunk[1:] if chunk[:1] == _LINE else " " + chunk
+                ids = array("H")
+                for part in pieces(text):
+                    ids.extend(piece(part.encode()))
+                out = self[chunk] = ids.tobytes()
                 return out
 
-        self._known = Known()
+        self._known, self._odd = Known(), _odd()
 
     def encode(self, text: str) -> bytes:
-        if _odd().search(text):
+        """The ids that the vocabulary's own pattern gives.
+
+        Where no two whitespace characters meet, every space or line end starts
+        a piece, so texts can be cut there and the ids of known words joined.
+        """
+        if sys.byteorder != "little" or not self._odd.isdisjoint(text) or _LINE in text or _SPACES.search(text):
             return np.array(self._whole.encode_ordinary(text), "<u2").tobytes()
-        return b"".join(map(self._known.__getitem__, _PLAIN.findall(text)))
+        first, *chunks = text.replace("\n", " " + _LINE).split(" ")
+        known = self._known
+        head = np.array(self._whole.encode_ordinary(first), "<u2").tobytes()
+        return head + b"".join(map(known.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> str:
         return self._whole.decode([i for i in np.frombuffer(ids, "<u2").tolist() if i != self.end])
 
 
+@cache
+def tokenizer(path: str) -> Tokenizer:
+    """One for each Python worker, which keeps the words it knows from task to task."""
+    return Tokenizer(path)
+
+
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """The keyed permutation of 0..n-1 at the given places."""
     half = np.uint64(max(1, ((max(n - 1, 1)).bit_length() + 1) // 2))
@@ -106,12 +130,12 @@ def sequences(docs: DataFrame, text: str = "text", row_id: str = "doc_id", lengt
     width = 2 * length
 
     def cut(batches):
-        tokenizer, done, part = Tokenizer(vocabulary), 0, TaskContext.get().partitionId()
-        end = np.array([tokenizer.end], "<u2").tobytes()
+        own, done, part = tokenizer(vocabulary), 0, TaskContext.get().partitionId()
+        end = np.array([own.end], "<u2").tobytes()
         for batch in batches:
             rows, size = [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokenizer.encode(t or "") + end
+                ids = own.encode(t or "") + end
                 for no, a in enumerate(range(0, len(ids), width)):
                     rows.append((i, no, ids[a : a + width]))
                 size += len(ids)
