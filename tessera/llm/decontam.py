@@ -180,14 +180,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         return _scan(docs, shared[0], text, span, gram)
     # A larger benchmark: a pass for each block, then each row's hits together.
     scratch = Scratch(spark, "leaks")
-    docs = scratch.write(docs.withColumn("_row", F.expr("uuid()")), "rows")
-    passes = [scratch.write(_scan(docs.select("_row", text), b, text, span, gram).drop(text), "pass") for b in shared]
+    docs = scratch.write(docs.withColumn("__t_row", F.expr("uuid()")), "rows")
+    passes = [scratch.write(_scan(docs.select("__t_row", text), b, text, span, gram).drop(text), "pass") for b in shared]
     every = passes[0]
     for one in passes[1:]:
         every = every.unionByName(one)
-    merged = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    merged = every.groupBy("__t_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
     covered = F.aggregate("hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), r["b"] - F.greatest(r["a"], s["end"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")))
-    return docs.join(merged.withColumn("n_hit", covered["n"]), "_row").drop("_row")
+    return docs.join(merged.withColumn("n_hit", covered["n"]), "__t_row").drop("__t_row")
 
 
 def _scan(docs: DataFrame, shared, text: str, span: int, gram: int) -> DataFrame:

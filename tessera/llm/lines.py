@@ -121,15 +121,15 @@ def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id"
     """
     scratch = Scratch(docs.sparkSession, "lines")
     judged = fuzzy_lines(docs, text, row_id, similarity, least_chars).where(~F.col("kept"))
-    dropped = scratch.write(judged.groupBy(F.col(row_id).alias("_id")).agg(F.collect_set("line_no").alias("_drop")), "dropped")
-    joined = docs.join(dropped, F.col(row_id).cast("long").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("_drop", i))
-    return joined.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_id", "_drop")
+    dropped = scratch.write(judged.groupBy(F.col(row_id).alias("__t_id")).agg(F.collect_set("line_no").alias("__t_drop")), "dropped")
+    joined = docs.join(dropped, F.col(row_id).cast("long").eqNullSafe(F.col("__t_id")), "left")
+    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__t_drop", i))
+    return joined.withColumn(text, F.when(F.col("__t_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__t_id", "__t_drop")
 
 
 def line_digest(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """For each id: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined."""
     totals = docs.select(F.col(row_id).cast("long").alias(row_id), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    judged = fuzzy_lines(docs, text, row_id).groupBy(F.col(row_id).alias("_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("_drop"))
-    joined = totals.join(judged, totals[row_id].eqNullSafe(judged["_id"]), "left")
-    return joined.select(row_id, "n_lines", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("_drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped_lines"))
+    judged = fuzzy_lines(docs, text, row_id).groupBy(F.col(row_id).alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("__t_drop"))
+    joined = totals.join(judged, totals[row_id].eqNullSafe(judged["__t_id"]), "left")
+    return joined.select(row_id, "n_lines", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), F.coalesce(F.size("__t_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("__t_drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped_lines"))

@@ -125,11 +125,11 @@ def mix_sources(df: DataFrame, text: str = "text", source: str = "source", row_i
     copies = _round(narrow.where("size > 0"), positive, rates, targets, scratch, most, walk_rows)
     d, t = df.alias("d"), targets.alias("t")
     with_target = d.join(t, F.col(f"d.{source}").eqNullSafe(F.col("t.source"))).select("d.*", F.col("t.source_size"), F.col("t.target"))
-    keyed = with_target.withColumns({"_s": F.col(source), "_i": F.col(row_id)})
+    keyed = with_target.withColumns({"__t_s": F.col(source), "__t_i": F.col(row_id)})
     # Rows alike in source, id and size get their copies one by one.
-    turn = F.row_number().over(Window.partitionBy("_s", "_i", "size").orderBy(F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy("__t_s", "__t_i", "size").orderBy(F.lit(1)))
     c = copies.alias("c")
-    joined = keyed.withColumn("_turn", turn).alias("k").join(c, F.expr("k._s <=> c.source and k._i <=> c.id and k.size = c.size and k._turn = c.turn"), "left")
+    joined = keyed.withColumn("__t_turn", turn).alias("k").join(c, F.expr("k.__t_s <=> c.source and k.__t_i <=> c.id and k.size = c.size and k.__t_turn = c.turn"), "left")
     names = [n for n in with_target.columns]
     return joined.select(*[F.col(f"k.`{n}`") for n in names], F.coalesce("c.copies", F.lit(0)).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 

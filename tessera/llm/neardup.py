@@ -289,7 +289,7 @@ def near_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The kept row of each class of ``near_groups``, all columns as they were."""
-    keep = near_groups(docs, text, row_id, similarity).where("kept").select(F.col(row_id).alias("_keep_id"), F.col("node").alias("_keep_node"))
-    own = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    joined = own.withColumn("_own_node", _node()).drop("_text").join(keep, F.col("_own_node").eqNullSafe(F.col("_keep_node")) & F.col(row_id).cast("long").eqNullSafe(F.col("_keep_id")))
-    return joined.dropDuplicates(["_keep_id", "_keep_node"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = near_groups(docs, text, row_id, similarity).where("kept").select(F.col(row_id).alias("__t_keep_id"), F.col("node").alias("__t_keep_node"))
+    own_node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    joined = docs.withColumn("__t_own_node", own_node).join(keep, F.col("__t_own_node").eqNullSafe(F.col("__t_keep_node")) & F.col(row_id).cast("long").eqNullSafe(F.col("__t_keep_id")))
+    return joined.dropDuplicates(["__t_keep_id", "__t_keep_node"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -130,8 +130,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", confidence: float =
     seed = pa.struct([("kind", pa.string()), ("ctx", pa.string()), ("value", pa.string())])
     loose = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("ctx", pa.string()), ("value", pa.string())])
     rest = [f for f in docs.schema.fields if f.name != text]
-    schema = extended(StructType(rest), "base array<struct<kind:string,a:long,b:long>>, _seeds array<struct<kind:string,ctx:string,value:string>>, _loose array<struct<a:long,b:long,ctx:string,value:string>>")
-    source = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("_text"))
+    schema = extended(StructType(rest), "base array<struct<kind:string,a:long,b:long>>, __t_seeds array<struct<kind:string,ctx:string,value:string>>, __t_loose array<struct<a:long,b:long,ctx:string,value:string>>")
+    source = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("__t_text"))
 
     def scan(batches):
         for batch in batches:
@@ -150,19 +150,19 @@ def find_personal_data(docs: DataFrame, text: str = "text", confidence: float =
                 for column, rows in zip(every, ([{"kind": k, "a": a, "b": b} for k, a, b in base], seeds, found)):
                     column.append(rows)
             own = [pa.array(c, pa.list_(kind)) for c, kind in zip(every, (span, seed, loose))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*[f.name for f in rest], "base", "_seeds", "_loose"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*[f.name for f in rest], "base", "__t_seeds", "__t_loose"])
 
-    scanned = scratch.write(source.mapInArrow(scan, schema).withColumn("_row", F.expr("uuid()")), "scanned")
+    scanned = scratch.write(source.mapInArrow(scan, schema).withColumn("__t_row", F.expr("uuid()")), "scanned")
     good = _good_candidates(scanned, scratch, confidence, support, rounds)
-    found = scanned.select("_row", F.explode("_loose").alias("c")).select("_row", "c.*")
+    found = scanned.select("__t_row", F.explode("__t_loose").alias("c")).select("__t_row", "c.*")
     added = (
         found.join(good, ["ctx", "value"])
-        .groupBy("_row")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("a"), F.col("b"), F.col("kind")))).alias("_added"))
-        .select("_row", F.transform("_added", lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("a"), s["b"].alias("b"))).alias("added"))
+        .groupBy("__t_row")
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("a"), F.col("b"), F.col("kind")))).alias("__t_added"))
+        .select("__t_row", F.transform("__t_added", lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("a"), s["b"].alias("b"))).alias("added"))
     )
     none = F.array().cast("array<struct<kind:string,a:long,b:long>>")
-    return scanned.join(added, "_row", "left").withColumn("added", F.coalesce("added", none)).drop("_row", "_seeds", "_loose")
+    return scanned.join(added, "__t_row", "left").withColumn("added", F.coalesce("added", none)).drop("__t_row", "__t_seeds", "__t_loose")
 
 
 def _value(found: str) -> str:
@@ -172,12 +172,12 @@ def _value(found: str) -> str:
 
 def _good_candidates(scanned: DataFrame, scratch: Scratch, confidence: float, support: int, rounds: int) -> DataFrame:
     """(ctx, value, kind) of candidates that patterns of high confidence surround."""
-    seeds = scanned.select(F.explode("_seeds").alias("s")).select("s.kind", "s.ctx", "s.value").distinct()
+    seeds = scanned.select(F.explode("__t_seeds").alias("s")).select("s.kind", "s.ctx", "s.value").distinct()
     seeds = scratch.write(seeds, "seeds")
     # Patterns with enough different seeds, whatever the number of their copies.
     patterns = seeds.groupBy("kind", "ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).drop("n")
     # Joining from the distinct candidates keeps a very common context to its different values.
-    loose = scanned.select(F.explode("_loose").alias("c")).select("c.ctx", "c.value").distinct()
+    loose = scanned.select(F.explode("__t_loose").alias("c")).select("c.ctx", "c.value").distinct()
     loose = scratch.write(loose.join(patterns, "ctx").select("kind", "ctx", "value"), "candidates")
     edges = seeds.join(patterns, ["kind", "ctx"], "left_semi").withColumn("seed", F.lit(True)).unionByName(loose.withColumn("seed", F.lit(False)))
     edges = scratch.write(edges.groupBy("kind", "ctx", "value").agg(F.max("seed").alias("seed")), "edges")

@@ -99,7 +99,7 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, seed: int = 0, cell_rows: in
     cells = np.concatenate([even_sizes(int(n), per_shard) for n in shards])
     shared = spark.sparkContext.broadcast((prefix, cells))
 
-    schema = extended(df.schema, "_cell int, _order long, _at long")
+    schema = extended(df.schema, "__t_cell int, __t_order long, __t_at long")
 
     def deal(batches):
         prefix, cells = shared.value
@@ -116,20 +116,20 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, seed: int = 0, cell_rows: in
                 raise RuntimeError("the input has more rows than when it was counted")
             own = [pa.array(dealt[done : done + n]), pa.array(order[done : done + n]), pa.array(np.arange(done, done + n, dtype=np.int64) + (p << 33))]
             done += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "_cell", "_order", "_at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "__t_cell", "__t_order", "__t_at"])
         if dealt is not None and done != len(dealt):
             raise RuntimeError("the input has fewer rows than when it was counted")
 
     starts = F.lit(0).cast("long")
-    shard = F.expr(f"cast(_cell div {per_shard} as int)")
+    shard = F.expr(f"cast(__t_cell div {per_shard} as int)")
     # The cells of a shard are even: the first ``size mod per_shard`` have one row more.
     size = F.lit(total // n_shards).cast("long") + F.when(shard < F.lit(total % n_shards), 1).otherwise(0)
-    j = F.col("_cell") % per_shard
+    j = F.col("__t_cell") % per_shard
     starts = j * F.floor(size / per_shard) + F.least(j.cast("long"), size % per_shard)
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_order", "_at"))
+    rank = F.row_number().over(Window.partitionBy("__t_cell").orderBy("__t_order", "__t_at"))
     return (
         df.mapInArrow(deal, schema)
         .withColumn("slot", (starts + rank - 1).cast("long"))
         .withColumn("shard", shard)
-        .drop("_cell", "_order", "_at")
+        .drop("__t_cell", "__t_order", "__t_at")
     )
