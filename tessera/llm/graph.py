@@ -41,49 +41,74 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-#: Rounds of comparing with one member of each bucket before all remaining pairs are compared.
+#: Rounds of comparing with one member of a bucket before all remaining pairs are compared.
 STAR_ROUNDS = 3
+#: Nodes of either side in one block of the last comparison.
+OUTSIDE, INSIDE = 64, 512
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, comp) for nodes linked by verified pairs of a common bucket.
 
     ``members`` has (bucket, node); ``verify`` keeps the pairs (a, b) that hold.
     First every member is compared to its bucket's head, the node that meets
     most others in all its buckets: an original heads the buckets of its
-    copies.  In further rounds the best connected node outside a bucket's
-    largest component is its head.  At last all pairs of one bucket whose nodes
-    are still in different components are compared, so the components are
-    those of all verified pairs, while a group that has become one component
-    costs no more.
+    copies.  In further rounds the members outside a bucket's largest component
+    are compared to one member of it, another each round.  At last all pairs of
+    one bucket whose nodes are still in different components are compared, so
+    the components are those of all verified pairs, while a group that has
+    become one component costs no more.
+
+    That last comparison is of blocks: the outside members of a bucket in
+    blocks of about OUTSIDE, each with blocks of about INSIDE of all members.
+    ``cross`` takes (bucket, i, j, outside, node, comp) and gives the links
+    (a, b) of each block; without it the pairs go to ``verify``.
     """
     often = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    multi = scratch.write(members.join(often, "bucket"), "members")
-    degrees = multi.groupBy("node").agg(F.sum("n").alias("degree"))
-    multi = scratch.write(multi.join(degrees, "node").select("bucket", "node", "degree"), "members")
+    first = scratch.write(members.join(often, "bucket"), "members")
+    degrees = first.groupBy("node").agg(F.sum("n").alias("degree"))
+    multi = scratch.write(first.join(degrees, "node").select("bucket", "node", "degree"), "members")
+    scratch.drop(first)
     heads = multi.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("head"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     done = scratch.write(multi.join(heads, "bucket").where("node != head").select(*pair("head", "node")).distinct(), "pairs")
-    links = scratch.write(verify(done), "links")
-    comp = scratch.write(components(links, scratch), "components")
-    for round_ in range(1, STAR_ROUNDS + 1):
-        labelled = multi.join(comp, "node", "left").select("bucket", "node", "degree", F.coalesce("comp", "node").alias("comp"))
+    comp = scratch.write(components(scratch.write(verify(done), "links"), scratch), "components")
+
+    def mixed_buckets() -> DataFrame:
+        """Members of buckets of several components, with the largest, and the numbers of members in and outside of it."""
+        labelled = multi.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
         sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        major = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        mixed = scratch.write(labelled.join(major, "bucket"), "mixed")
+        major = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), (F.sum("n") - F.max("n")).alias("n_out"), F.sum("n").alias("n_all")).where("n_out > 0")
+        return scratch.write(labelled.join(major, "bucket"), "mixed")
+
+    def joined(more: DataFrame) -> DataFrame:
+        if more.isEmpty():
+            return comp
+        stars = comp.where("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+        return scratch.write(components(stars.unionByName(more.select("a", "b")), scratch), "components")
+
+    for round_ in range(STAR_ROUNDS):
+        mixed = mixed_buckets()
         if mixed.isEmpty():
-            break
-        outside = mixed.where("comp != major")
-        if round_ < STAR_ROUNDS:
-            outside = outside.groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), F.struct("degree", "node")).alias("h")).select("bucket", "h.*")
-        x = outside.select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-        y = mixed.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"))
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & (x["cx"] != y["cy"])).select(*pair("x", "y")).distinct()
+            return comp
+        one = mixed.where("comp = major").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("one"))
+        pairs = mixed.where("comp != major").join(one, "bucket").select(*pair("one", "node")).distinct()
         new = scratch.write(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = scratch.write(verify(new), "links")
-        if not more.isEmpty():
-            stars = comp.where("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-            comp = scratch.write(components(stars.unionByName(more.select("a", "b")), scratch), "components")
+        comp = joined(scratch.write(verify(new), "links"))
         done = done.unionByName(new)
         scratch.drop(mixed)
-    return comp
+    mixed = mixed_buckets()
+    if mixed.isEmpty():
+        return comp
+    rows, cols = F.ceil(F.col("n_out") / OUTSIDE), F.ceil(F.col("n_all") / INSIDE)
+    block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    outside = mixed.where("comp != major").select("bucket", block(rows, 11).alias("i"), all_of(cols).alias("j"), F.lit(True).alias("outside"), "node", "comp")
+    inside = mixed.select("bucket", all_of(rows).alias("i"), block(cols, 12).alias("j"), F.lit(False).alias("outside"), "node", "comp")
+    if cross is not None:
+        return joined(scratch.write(cross(outside.unionByName(inside)), "links"))
+    x = outside.select("bucket", "i", "j", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    y = inside.select("bucket", "i", "j", F.col("node").alias("y"), F.col("comp").alias("cy"))
+    same = (x["bucket"] == y["bucket"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & (x["cx"] != y["cy"])
+    pairs = x.join(y, same).select(*pair("x", "y")).distinct()
+    return joined(scratch.write(verify(pairs.join(done, ["a", "b"], "left_anti")), "links"))

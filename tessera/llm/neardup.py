@@ -213,6 +213,32 @@ def similarities(weights: Weights, xs: list[bytes], ys: list[bytes]) -> np.ndarr
     return np.where(whole > 0, common / np.maximum(whole, 1e-300), 0.0)
 
 
+def _block_links(table: pa.Table, weights: Weights, similarity: float) -> pa.Table:
+    """Links between the outside nodes of a block and its other nodes in other components."""
+    nodes, comps = table.column("node").to_pylist(), table.column("comp").to_pylist()
+    out = np.array(table.column("outside").to_pylist(), bool)
+    n = len(nodes)
+    owner, names, times = distinct_shingles(table.column("_text").cast(pa.binary()).to_pylist())
+    w = weights(names, times).astype(np.float64)
+    total, bounds = np.bincount(owner, w, n), np.searchsorted(owner, np.arange(n + 1))
+    rest = ~out[owner]
+    r_owner, r_names, r_w = owner[rest], names[rest], w[rest]
+    found: set[tuple[bytes, bytes]] = set()
+    for x in np.flatnonzero(out):
+        own, own_w = names[bounds[x] : bounds[x + 1]], w[bounds[x] : bounds[x + 1]]
+        if not len(own):
+            continue
+        at = np.searchsorted(own, r_names)
+        at[at == len(own)] = 0
+        hit = own[at] == r_names
+        common = np.bincount(r_owner[hit], np.minimum(own_w[at[hit]], r_w[hit]), n)
+        for y in np.flatnonzero(common >= similarity * (total[x] + total - common)):
+            if common[y] > 0 and comps[y] != comps[x]:
+                found.add((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
 def _node():
     return F.unhex(F.md5("_text"))
 
@@ -276,7 +302,13 @@ def near_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
-    comp = scratch.write(link_groups(members.select("bucket", "node"), verify, scratch), "classes")
+    def cross(blocks: DataFrame) -> DataFrame:
+        def compare(table: pa.Table) -> pa.Table:
+            return _block_links(table, shared.value, similarity)
+
+        return blocks.join(texts, "node").select("bucket", "i", "j", "outside", "node", "comp", "_text").groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+    comp = scratch.write(link_groups(members.select("bucket", "node"), verify, scratch, cross), "classes")
     scratch.drop(texts)
     of_node = nodes.select("node", "id", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = of_node.groupBy("comp").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("_keep"), F.min("id").alias("class_id"), F.sum("n").alias("group_size"))
