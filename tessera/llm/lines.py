@@ -3,8 +3,8 @@
 Lines are normalised; equal normalised lines are one node.  A 64-bit SimHash
 of a line's words is cut into blocks; by the pigeonhole principle lines within
 three bits share two of five blocks, so they meet in one of ten joins on the
-ten pairs of blocks.  Pairs that meet are verified by edit similarity, and one
-occurrence of each connected group is kept.
+ten pairs of blocks.  Pairs that meet and are within three bits are verified by
+edit similarity, and one occurrence of each connected group is kept.
 """
 
 from __future__ import annotations
@@ -88,13 +88,19 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
     def keys(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            found = [block_keys(simhash(texts[part])) for part in byte_groups([len(t) for t in texts], _SLICE)]
-            rows = np.concatenate(found).tolist() if found else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "keys"])
+            found = [simhash(texts[part]) for part in byte_groups([len(t) for t in texts], _SLICE)]
+            found = np.concatenate(found) if found else np.empty(0, np.uint64)
+            rows = pa.array(block_keys(found).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), rows], names=["node", "simhash", "keys"])
 
-    members = nodes.select("node", "norm").mapInArrow(keys, "node binary, keys array<long>").select("node", F.explode("keys").alias("bucket"))
+    signed = scratch.write(nodes.select("node", "norm").mapInArrow(keys, "node binary, simhash long, keys array<long>"), "signed")
+    members = signed.select("node", F.explode("keys").alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        # Pairs beyond three bits go before the lines are fetched.
+        hashes = lambda end: signed.select(F.col("node").alias(end), F.col("simhash").alias(f"h{end}"))
+        apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+        pairs = scratch.write(pairs.join(hashes("a"), "a").join(hashes("b"), "b").where(apart <= BITS_APART).select("a", "b"), "near")
         a = nodes.select(F.col("node").alias("a"), F.col("norm").alias("x"))
         b = nodes.select(F.col("node").alias("b"), F.col("norm").alias("y"))
         longer = F.greatest(F.length("x"), F.length("y"))
