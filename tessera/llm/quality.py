@@ -10,6 +10,8 @@ are computed in blocks, and the nearest vote with weights by similarity.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +47,10 @@ def pair_counts(texts: list[bytes | None]) -> np.ndarray:
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.log1p(counts)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -77,13 +81,15 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, text: str, row_id: str,
     def count(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            rows = [row.astype(np.float32).tobytes() for a in range(0, len(texts), 64) for row in pair_counts(texts[a : a + 64])]
+            rows = [zlib.compress(row.tobytes(), 1) for a in range(0, len(texts), 64) for row in pair_counts(texts[a : a + 64])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["id", "y", "counts"])
 
-    # The sample is bounded by ``most`` rows of two numbers.
+    # The sample is bounded by ``most`` rows of two numbers, the counts by ``most`` rows of mostly zeros.
     found = docs.select(F.col(row_id), F.col(text)).join(F.broadcast(sample), row_id).select(F.col(row_id).cast("string").alias("id"), text, "y").mapInArrow(count, "id string, y double, counts binary")
     rows = sorted({(r["id"], bytes(r["counts"]), r["y"]) for r in found.collect()})
-    counts = np.stack([np.frombuffer(r[1], np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
+    counts = np.zeros((len(rows), FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        counts[i] = np.frombuffer(zlib.decompress(r[1]), np.float32)
     return counts, np.array([r[2] for r in rows], np.float32)
 
 
@@ -106,10 +112,11 @@ class Model:
         self.idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
         x = weigh(counts, self.idf)
         self.mean = x.mean(axis=0) if len(x) else np.zeros(FEATURES, np.float32)
-        self.axes = latent_space(x - self.mean, dimensions)
+        x -= self.mean
+        self.axes = latent_space(x, dimensions)
         self.y = y
         self.prior = float(y.mean()) if len(y) else 0.5
-        self.vectors = self._unit((x - self.mean) @ self.axes)
+        self.vectors = self._unit(x @ self.axes)
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
