@@ -2,13 +2,15 @@
 
 Lines are normalised; equal normalised lines are one node.  A 64-bit SimHash
 of a line's words is cut into blocks; by the pigeonhole principle lines within
-three bits share two of five blocks, so they meet in one of ten joins on the
-ten pairs of blocks.  Pairs that meet and are within three bits are verified by
-edit similarity, and one occurrence of each connected group is kept.
+three bits share two of five blocks, so their signatures meet in one of ten
+buckets.  Only signatures that have another one within three bits in a bucket
+go on; pairs of their lines are verified by edit similarity, and one occurrence
+of each connected group is kept.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import link_groups
-from .scratch import Scratch
+from .scratch import Scratch, text_batches
 from .words import Words, byte_groups, mix
 
 #: SimHashes within so many bits are candidates.
@@ -27,7 +29,13 @@ BLOCKS = 5
 SIMILARITY = 0.8
 #: Shorter normalised lines (in characters) are never dropped.
 LEAST_CHARS = 24
+#: Signatures of a bucket that one task compares at once; a larger bucket is divided by further blocks.
+TOGETHER = 512
 _SLICE = 1 << 20
+_LANES = np.uint64(0x0101010101010101)
+_MOST_IN_LANE = 255
+#: Digits as 0, and what is no letter, digit or line feed as a space.
+_PLAIN = bytes(b if b >= 0x80 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
 
 
 def normalised_line(line):
@@ -36,30 +44,62 @@ def normalised_line(line):
     return F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
+def normalised_lines(text: str) -> list[bytes]:
+    """``normalised_line`` of each line of a text, in UTF-8."""
+    out = text.lower().encode().translate(_PLAIN)
+    for run in (b"0", b" "):
+        while run + run in out:
+            out = out.replace(run + run, run)
+    return out.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
+
+
 def simhash(texts: list[bytes]) -> np.ndarray:
-    """Each text's majority of the bits of its words' hashes; texts without words get 0."""
+    """Each text's majority of the bits of its words' hashes; texts without words get 0.
+
+    Bits are counted in the eight bytes of a word at once, over at most 255 words.
+    """
     words = Words(texts)
     counts = np.diff(words.bounds)
     out = np.zeros(len(texts), np.uint64)
     if not len(words.hashes):
         return out
-    bits = np.unpackbits(mix(words.hashes).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
     some = np.flatnonzero(counts)
-    # A long line has at most 2**15 words in a sum of 16 bits; sums are taken in 32.
-    sums = np.add.reduceat(bits, words.bounds[:-1][some], axis=0, dtype=np.int32)
-    out[some] = np.packbits(2 * sums > counts[some, None], axis=1).view(np.uint64).ravel()
+    counts = counts[some]
+    runs = -(-counts // _MOST_IN_LANE)
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(words.bounds[:-1][some], runs) + _MOST_IN_LANE * (np.arange(runs.sum()) - np.repeat(first, runs))
+    hashes = mix(words.hashes)
+    sums = np.stack([np.add.reduceat((hashes >> np.uint64(i)) & _LANES, starts) for i in range(8)], axis=1)
+    lanes = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+    totals = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
+    out[some] = np.packbits(2 * totals > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
+def _block_masks(apart: int, blocks: int) -> list[int]:
+    """Masks of the bits of each choice of blocks - apart blocks."""
+    edges = np.linspace(0, 64, blocks + 1).astype(int)
+    masks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:])]
+    return [sum(masks[j] for j in chosen) for chosen in combinations(range(blocks), blocks - apart)]
+
+
 def block_keys(hashes: np.ndarray, apart: int = BITS_APART, blocks: int = BLOCKS) -> np.ndarray:
     """A key for each choice of blocks - apart blocks, unlike between choices."""
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    masks = [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(edges, edges[1:])]
-    out = []
-    for i, chosen in enumerate(combinations(range(blocks), blocks - apart)):
-        mask = np.bitwise_or.reduce([masks[j] for j in chosen])
-        out.append(mix((hashes & mask) ^ np.uint64((0xA0761D6478BD642F * (i + 1)) % 2**64)))
-    return np.stack(out, axis=1).view(np.int64)
+    keys = [mix((hashes & np.uint64(mask)) ^ np.uint64((0xA0761D6478BD642F * (i + 1)) % 2**64)) for i, mask in enumerate(_block_masks(apart, blocks))]
+    return np.stack(keys, axis=1).view(np.int64)
+
+
+def _rest_masks() -> np.ndarray:
+    """For each choice of blocks the other bits in BITS_APART + 1 parts, of which one has no unlike bit."""
+    parts = [np.array_split([i for i in range(64) if not mask >> i & 1], BITS_APART + 1) for mask in _block_masks(BITS_APART, BLOCKS)]
+    return np.array([[sum(1 << int(i) for i in part) for part in of] for of in parts], np.uint64)
+
+
+def finer_keys(buckets: np.ndarray, hashes: np.ndarray, choices: np.ndarray) -> np.ndarray:
+    """Keys that divide a bucket: signatures within three bits share one of them."""
+    parts = hashes[:, None] & _rest_masks()[choices]
+    salts = mix(buckets.view(np.uint64))[:, None] + np.arange(1, BITS_APART + 2, dtype=np.uint64)
+    return mix(parts ^ mix(salts)).view(np.int64)
 
 
 def line_rows(docs: DataFrame, text: str, row_id: str) -> DataFrame:
@@ -68,6 +108,115 @@ def line_rows(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     return own.select("id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
 
 
+def judged_lines(docs: DataFrame, text: str, row_id: str, least_chars: int) -> DataFrame:
+    """(id, line_no, node, simhash, norm) of the lines that are long enough; of equal lines of one batch the first has ``norm``."""
+
+    def scan(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for part in byte_groups([len(t or "") for t in texts], _SLICE):
+                owners, numbers, which, own = [], [], [], {}
+                for i in range(part.start, part.stop):
+                    for number, line in enumerate(normalised_lines(texts[i] or "")):
+                        if len(line) >= least_chars and (line.isascii() or len(line.decode()) >= least_chars):
+                            owners.append(i)
+                            numbers.append(number)
+                            which.append(own.setdefault(line, len(own)))
+                found, which = list(own), np.array(which, np.int64)
+                nodes = pa.array([md5(line, usedforsecurity=False).digest() for line in found], pa.binary())
+                norms = np.full(len(which), None, object)
+                norms[np.unique(which, return_index=True)[1]] = found
+                columns = [ids.take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()), nodes.take(pa.array(which)), pa.array(simhash(found).view(np.int64)[which]), pa.array(norms, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "node", "simhash", "norm"])
+
+    text_batches(docs.sparkSession)
+    own = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("t"))
+    return own.mapInArrow(scan, "id long, line_no int, node binary, simhash long, norm string")
+
+
+def have_near(buckets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each signature has another within three bits in its bucket; ``buckets`` is sorted."""
+    near = np.zeros(len(buckets), bool)
+    at, step = np.arange(len(buckets)), 1
+    while True:
+        at = at[at + step < len(buckets)]
+        at = at[buckets[at] == buckets[at + step]]
+        if not len(at):
+            return near
+        hit = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= BITS_APART]
+        near[hit] = near[hit + step] = True
+        step += 1
+
+
+def _near_in_buckets(batches):
+    """Rows (bucket, simhash), in order of bucket, that have a near one; a bucket may go over several batches."""
+    left = (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+    def rows(buckets, hashes):
+        near = have_near(buckets, hashes)
+        return pa.RecordBatch.from_arrays([pa.array(buckets[near]), pa.array(hashes[near].view(np.int64))], names=["bucket", "simhash"])
+
+    for batch in batches:
+        buckets = np.concatenate([left[0], batch.column(0).to_numpy()])
+        hashes = np.concatenate([left[1], batch.column(1).to_numpy().view(np.uint64)])
+        end = int(np.searchsorted(buckets, buckets[-1])) if len(buckets) else 0
+        left = (buckets[end:], hashes[end:])
+        yield rows(buckets[:end], hashes[:end])
+    yield rows(*left)
+
+
+def near_signatures(signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, simhash) so that signatures within three bits of each other share a bucket.
+
+    Buckets of up to TOGETHER signatures keep those that have a near one.
+    Larger ones are divided by the blocks that are left; what is larger still
+    passes whole.
+    """
+
+    def first_keys(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            keys = block_keys(own.view(np.uint64))
+            columns = [keys.ravel(), np.repeat(own, keys.shape[1]), np.tile(np.arange(keys.shape[1], dtype=np.int8), len(own))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "simhash", "choice"])
+
+    def second_keys(batches):
+        for batch in batches:
+            buckets, own, choices = (c.to_numpy() for c in batch.columns)
+            keys = finer_keys(buckets, own.view(np.uint64), choices)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, keys.shape[1]))], names=["bucket", "simhash"])
+
+    def shared(members: DataFrame, name: str) -> DataFrame:
+        often = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return scratch.write(members.join(often, "bucket"), name)
+
+    def near(members: DataFrame) -> DataFrame:
+        own = members.where(F.col("n") <= TOGETHER).select("bucket", "simhash")
+        return own.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_near_in_buckets, "bucket long, simhash long")
+
+    members = shared(signatures.mapInArrow(first_keys, "bucket long, simhash long, choice byte"), "buckets")
+    large = members.where(F.col("n") > TOGETHER).select("bucket", "simhash", "choice")
+    finer = shared(large.mapInArrow(second_keys, "bucket long, simhash long"), "finer")
+    return near(members).unionByName(near(finer)).unionByName(finer.where(F.col("n") > TOGETHER).select("bucket", "simhash"))
+
+
+def _without_ends(batches):
+    """Pairs (a, b, most, x, y) with x and y less the characters they have in common at either end, which leaves their distance."""
+    for batch in batches:
+        cut = []
+        for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            u, v = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y))
+            least = min(len(u), len(v))
+            unlike = np.flatnonzero(u[:least] != v[:least])
+            head = int(unlike[0]) if len(unlike) else least
+            least -= head
+            unlike = np.flatnonzero(u[::-1][:least] != v[::-1][:least])
+            tail = int(unlike[0]) if len(unlike) else least
+            cut.append((x[head : len(x) - tail], y[head : len(y) - tail]))
+        ends = [pa.array([pair[i] for pair in cut], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *ends], names=["a", "b", "most", "x", "y"])
+
+
 def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(row_id, line_no, node, class, kept) of every line that is long enough to be judged.
 
@@ -77,45 +226,36 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
     Lines of fewer than ``least_chars`` normalised characters, so those of null
     and empty texts, are not judged.  Long lines are taken whole.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    judged = line_rows(docs, text, row_id).select("id", "line_no", normalised_line(F.col("line")).alias("norm")).where(F.length("norm") >= least_chars)
-    judged = judged.withColumn("node", F.unhex(F.md5("norm")))
+    scratch = Scratch(docs.sparkSession, "lines")
+    judged = scratch.write(judged_lines(docs, text, row_id, least_chars), "judged")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no"))
-    # The content of a node comes from the same exchange that counts it.
-    nodes = scratch.write(judged.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.min("norm").alias("norm")), "nodes")
-
-    def keys(batches):
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            found = [simhash(texts[part]) for part in byte_groups([len(t) for t in texts], _SLICE)]
-            found = np.concatenate(found) if found else np.empty(0, np.uint64)
-            rows = pa.array(block_keys(found).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), rows], names=["node", "simhash", "keys"])
-
-    signed = scratch.write(nodes.select("node", "norm").mapInArrow(keys, "node binary, simhash long, keys array<long>"), "signed")
-    members = signed.select("node", F.explode("keys").alias("bucket"))
+    nodes = scratch.write(judged.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.min("simhash").alias("simhash")), "nodes")
+    signatures = scratch.write(nodes.groupBy("simhash").agg(F.count(F.lit(1)).alias("n_nodes")), "signatures")
+    # Unlike lines of one signature share a bucket of their own.
+    alike = signatures.where("n_nodes > 1").select(F.xxhash64("simhash").alias("bucket"), "simhash")
+    buckets = near_signatures(signatures.select("simhash"), scratch).unionByName(alike)
+    members = scratch.write(buckets.join(nodes.select("simhash", "node"), "simhash").select("bucket", "node"), "members")
+    wanted = members.select("node").distinct()
+    texts = judged.where(F.col("norm").isNotNull()).select("node", "simhash", "norm").join(wanted, "node", "left_semi")
+    texts = scratch.write(texts.dropDuplicates(["node"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # Pairs beyond three bits go before the lines are fetched.
-        hashes = lambda end: signed.select(F.col("node").alias(end), F.col("simhash").alias(f"h{end}"))
+        of = lambda end, t: texts.select(F.col("node").alias(end), F.col("simhash").alias(f"h{end}"), F.col("norm").alias(t))
         apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-        pairs = scratch.write(pairs.join(hashes("a"), "a").join(hashes("b"), "b").where(apart <= BITS_APART).select("a", "b"), "near")
-        a = nodes.select(F.col("node").alias("a"), F.col("norm").alias("x"))
-        b = nodes.select(F.col("node").alias("b"), F.col("norm").alias("y"))
-        longer = F.greatest(F.length("x"), F.length("y"))
-        most = F.floor((1 - similarity) * longer + 1e-9).cast("int")
-        # Lengths alone rule most chance pairs out before any distance is computed.
-        near = (F.abs(F.length("x") - F.length("y")) <= most) & (F.expr("levenshtein(x, y)") <= most)
-        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+        most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
+        near = (apart <= BITS_APART) & (F.abs(F.length("x") - F.length("y")) <= most)
+        pairs = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(near).select("a", "b", most.alias("most"), "x", "y")
+        cut = pairs.mapInArrow(_without_ends, "a binary, b binary, most int, x string, y string")
+        return cut.where((F.greatest(F.length("x"), F.length("y")) <= F.col("most")) | (F.expr("levenshtein(x, y, most)") >= 0)).select("a", "b")
 
     comp = link_groups(members, verify, scratch)
-    of_node = nodes.select("node", "first").join(comp, "node", "left").withColumn("class", F.coalesce("comp", "node"))
+    # A line that occurs once and has no link is kept; the others are looked up.
+    of_node = nodes.select("node", "first", "n").join(comp, "node", "left").where("n > 1 OR comp IS NOT NULL").withColumn("class", F.coalesce("comp", "node"))
     keepers = of_node.groupBy("class").agg(F.min_by(F.struct("node", "first"), F.struct("first", "node")).alias("k")).select("class", F.col("k.node").alias("_keep"), F.col("k.first").alias("_at"))
     by_node = of_node.join(keepers, "class").select("node", "class", (F.col("node") == F.col("_keep")).alias("_first"), "_at")
-    lines = judged.select("id", "line_no", "node").join(by_node, "node")
+    lines = judged.select("id", "line_no", "node").join(by_node, "node", "left")
     kept = F.col("_first") & F.col("id").eqNullSafe(F.col("_at.id")) & (F.col("line_no") == F.col("_at.line_no"))
-    lines = lines.withColumn("kept", kept)
+    lines = lines.withColumn("kept", F.when(F.col("class").isNull(), True).otherwise(kept)).withColumn("class", F.coalesce("class", "node"))
     turn = F.row_number().over(Window.partitionBy("node", "id", "line_no").orderBy(F.lit(1)))
     return lines.withColumn("kept", F.col("kept") & (turn == 1)).select(F.col("id").alias(row_id), "line_no", "node", "class", "kept")
 
@@ -135,7 +275,7 @@ def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id"
 
 def line_digest(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """For each id: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined."""
-    totals = docs.select(F.col(row_id).cast("long").alias(row_id), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    totals = docs.select(F.col(row_id).cast("long").alias(row_id), (F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))), F.lit(0)) + 1).cast("long").alias("n_lines"))
     judged = fuzzy_lines(docs, text, row_id).groupBy(F.col(row_id).alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("__t_drop"))
     joined = totals.join(judged, totals[row_id].eqNullSafe(judged["__t_id"]), "left")
     return joined.select(row_id, "n_lines", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), F.coalesce(F.size("__t_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("__t_drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped_lines"))
