@@ -10,8 +10,10 @@ of each connected group is kept.
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import md5
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SIMILARITY = 0.8
 LEAST_CHARS = 24
 #: Signatures of a bucket that one task compares at once; a larger bucket is divided by further blocks.
 TOGETHER = 512
+#: Rows in one Arrow batch of signatures.
+NUMBER_BATCH_ROWS = 8192
 _SLICE = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 _MOST_IN_LANE = 255
@@ -134,27 +138,46 @@ def judged_lines(docs: DataFrame, text: str, row_id: str, least_chars: int) -> D
     return own.mapInArrow(scan, "id long, line_no int, node binary, simhash long, norm string")
 
 
-def have_near(buckets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether each signature has another within three bits in its bucket; ``buckets`` is sorted."""
-    near = np.zeros(len(buckets), bool)
-    at, step = np.arange(len(buckets)), 1
+def near_classes(buckets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each signature the first row of its bucket that it is joined to by steps of three bits, -1 for none; ``buckets`` is sorted."""
+    at, step, left, right = np.arange(len(buckets)), 1, [], []
     while True:
         at = at[at + step < len(buckets)]
         at = at[buckets[at] == buckets[at + step]]
         if not len(at):
-            return near
+            break
         hit = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= BITS_APART]
-        near[hit] = near[hit + step] = True
+        left.append(hit)
+        right.append(hit + step)
         step += 1
+    out = np.full(len(buckets), -1, np.int64)
+    if not left or not sum(map(len, left)):
+        return out
+    left, right = np.concatenate(left), np.concatenate(right)
+    label = np.arange(len(buckets))
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    joined = np.concatenate([left, right])
+    out[joined] = label[joined]
+    return out
 
 
 def _near_in_buckets(batches):
-    """Rows (bucket, simhash), in order of bucket, that have a near one; a bucket may go over several batches."""
+    """Rows (bucket, simhash), in order of bucket, that have a near one, under a bucket for each class of them; a bucket may go over several batches."""
     left = (np.empty(0, np.int64), np.empty(0, np.uint64))
 
     def rows(buckets, hashes):
-        near = have_near(buckets, hashes)
-        return pa.RecordBatch.from_arrays([pa.array(buckets[near]), pa.array(hashes[near].view(np.int64))], names=["bucket", "simhash"])
+        of = near_classes(buckets, hashes)
+        near = np.flatnonzero(of >= 0)
+        classes = mix(buckets[near].view(np.uint64) ^ mix(hashes[of[near]])).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(hashes[near].view(np.int64))], names=["bucket", "simhash"])
 
     for batch in batches:
         buckets = np.concatenate([left[0], batch.column(0).to_numpy()])
@@ -168,7 +191,8 @@ def _near_in_buckets(batches):
 def near_signatures(signatures: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, simhash) so that signatures within three bits of each other share a bucket.
 
-    Buckets of up to TOGETHER signatures keep those that have a near one.
+    Buckets of up to TOGETHER signatures keep those that have a near one, and
+    are divided into the classes that these make.
     Larger ones are divided by the blocks that are left; what is larger still
     passes whole.
     """
@@ -231,10 +255,13 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no"))
     nodes = scratch.write(judged.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.min("simhash").alias("simhash")), "nodes")
     signatures = scratch.write(nodes.groupBy("simhash").agg(F.count(F.lit(1)).alias("n_nodes")), "signatures")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_BATCH_ROWS))
     # Unlike lines of one signature share a bucket of their own.
     alike = signatures.where("n_nodes > 1").select(F.xxhash64("simhash").alias("bucket"), "simhash")
     buckets = near_signatures(signatures.select("simhash"), scratch).unionByName(alike)
-    members = scratch.write(buckets.join(nodes.select("simhash", "node"), "simhash").select("bucket", "node"), "members")
+    members = buckets.join(nodes.select("simhash", "node"), "simhash").select("bucket", "node")
+    members = scratch.write(members, "members")
+    text_batches(docs.sparkSession)
     wanted = members.select("node").distinct()
     texts = judged.where(F.col("norm").isNotNull()).select("node", "simhash", "norm").join(wanted, "node", "left_semi")
     texts = scratch.write(texts.dropDuplicates(["node"]), "texts")
@@ -246,7 +273,9 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
         near = (apart <= BITS_APART) & (F.abs(F.length("x") - F.length("y")) <= most)
         pairs = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(near).select("a", "b", most.alias("most"), "x", "y")
         cut = pairs.mapInArrow(_without_ends, "a binary, b binary, most int, x string, y string")
-        return cut.where((F.greatest(F.length("x"), F.length("y")) <= F.col("most")) | (F.expr("levenshtein(x, y, most)") >= 0)).select("a", "b")
+        # A distance costs time by its bound: most pairs are much nearer than they must be.
+        bounds = (F.expr(f"levenshtein(x, y, cast(most div {part} as int))") >= 0 for part in (16, 4, 1))
+        return cut.where(reduce(or_, bounds, F.greatest(F.length("x"), F.length("y")) <= F.col("most"))).select("a", "b")
 
     comp = link_groups(members, verify, scratch)
     # A line that occurs once and has no link is kept; the others are looked up.
