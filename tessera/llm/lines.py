@@ -6,6 +6,11 @@ three bits share two of five blocks, so their signatures meet in one of ten
 buckets.  Only signatures that have another one within three bits in a bucket
 go on; pairs of their lines are verified by edit similarity, and one occurrence
 of each connected group is kept.
+
+SimHashes of lines that differ in a word or two are mostly further apart than
+that.  With ``near="edits"``, as in ``line_digest``, lines meet instead where
+two minima of hashes of their character grams agree, in any of BANDS choices of
+two, and edit similarity alone decides.
 """
 
 from __future__ import annotations
@@ -33,9 +38,14 @@ SIMILARITY = 0.8
 LEAST_CHARS = 24
 #: Signatures of a bucket that one task compares at once; a larger bucket is divided by further blocks.
 TOGETHER = 512
+#: Characters (bytes) of a gram, and minima of gram hashes, each of which is in two of the bands.
+GRAM, BANDS = 12, 24
+#: Lines of fewer bytes also have grams that go beyond their ends.
+PADDED = 48
 #: Rows in one Arrow batch of signatures.
 NUMBER_BATCH_ROWS = 8192
 _SLICE = 1 << 20
+_GRAM_BASE = 0x9E3779B97F4A7C15
 _LANES = np.uint64(0x0101010101010101)
 _MOST_IN_LANE = 255
 #: Digits as 0, and what is no letter, digit or line feed as a space.
@@ -106,14 +116,77 @@ def finer_keys(buckets: np.ndarray, hashes: np.ndarray, choices: np.ndarray) ->
     return mix(parts ^ mix(salts)).view(np.int64)
 
 
+def gram_minima(texts: list[bytes], n: int = BANDS) -> np.ndarray:
+    """The least of each of n hashes of a text's character grams; texts must not be empty."""
+    pad = b"\0" * (GRAM - 1)
+    own = [t if len(t) >= PADDED else pad + t + pad for t in texts]
+    chars = np.frombuffer(b"".join(own), np.uint8).astype(np.uint64)
+    counts = np.array([len(t) for t in own])
+    starts = np.cumsum(counts) - counts
+    grams = np.zeros(len(chars) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        grams *= np.uint64(_GRAM_BASE)
+        grams += chars[i : i + len(grams)]
+    grams = (mix(grams) >> np.uint64(32)).astype(np.uint32)
+    # Grams that go over from one text to the next are in the odd ranges.
+    edges = np.stack([starts, starts + counts - GRAM + 1], axis=1).ravel()
+    edges = edges[:-1] if edges[-1] >= len(grams) else edges
+    odd = mix(np.arange(1, n + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    return np.stack([np.minimum.reduceat(grams * by, edges)[::2] for by in odd], axis=1)
+
+
+def gram_keys(texts: list[bytes]) -> np.ndarray:
+    """A key for each band, of two minima: texts whose grams have Jaccard similarity J share one with a probability of about 1 - (1 - J**2)**BANDS."""
+    minima = gram_minima(texts).astype(np.uint64)
+    steps = (1, 5)
+    pairs = [minima | np.roll(minima, -step, axis=1) << np.uint64(32) for step in steps]
+    keys = np.concatenate([pair[:, i :: len(steps)] for i, pair in enumerate(pairs)], axis=1)
+    return mix(keys ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+
+
+def gram_buckets(judged: DataFrame) -> DataFrame:
+    """(bucket, simhash) of the buckets of several lines; ``simhash`` is here a number for the line."""
+
+    def keyed(batches):
+        for batch in batches:
+            own, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
+            for part in byte_groups([len(t) for t in texts], _SLICE):
+                keys = gram_keys(texts[part])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own[part], BANDS))], names=["bucket", "simhash"])
+
+    def shared(batches):
+        left = (np.empty(0, np.int64), np.empty(0, np.int64))
+
+        def rows(buckets, own):
+            new = np.ones(len(own), bool)
+            new[1:] = (buckets[1:] != buckets[:-1]) | (own[1:] != own[:-1])
+            buckets, own = buckets[new], own[new]
+            with_next = np.append(buckets[1:] == buckets[:-1], False) if len(own) else np.empty(0, bool)
+            some = with_next | np.append(False, with_next)[: len(own)]
+            return pa.RecordBatch.from_arrays([pa.array(buckets[some]), pa.array(own[some])], names=["bucket", "simhash"])
+
+        for batch in batches:
+            buckets, own = (np.concatenate([old, c.to_numpy()]) for old, c in zip(left, batch.columns))
+            end = int(np.searchsorted(buckets, buckets[-1])) if len(buckets) else 0
+            left = (buckets[end:], own[end:])
+            yield rows(buckets[:end], own[:end])
+        yield rows(*left)
+
+    keys = judged.where(F.col("norm").isNotNull()).select("simhash", "norm").mapInArrow(keyed, "bucket long, simhash long")
+    return keys.repartition("bucket").sortWithinPartitions("bucket", "simhash").mapInArrow(shared, "bucket long, simhash long")
+
+
 def line_rows(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     """(id, line_no, line) of all lines; a null text has one empty line."""
     own = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return own.select("id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
 
 
-def judged_lines(docs: DataFrame, text: str, row_id: str, least_chars: int) -> DataFrame:
-    """(id, line_no, node, simhash, norm) of the lines that are long enough; of equal lines of one batch the first has ``norm``."""
+def judged_lines(docs: DataFrame, text: str, row_id: str, least_chars: int, near: str = "bits") -> DataFrame:
+    """(id, line_no, node, simhash, norm) of the lines that are long enough; of equal lines of one batch the first has ``norm``.
+
+    With ``near="edits"``, ``simhash`` is the first half of the node.
+    """
 
     def scan(batches):
         for batch in batches:
@@ -127,10 +200,12 @@ def judged_lines(docs: DataFrame, text: str, row_id: str, least_chars: int) -> D
                             numbers.append(number)
                             which.append(own.setdefault(line, len(own)))
                 found, which = list(own), np.array(which, np.int64)
-                nodes = pa.array([md5(line, usedforsecurity=False).digest() for line in found], pa.binary())
+                digests = [md5(line, usedforsecurity=False).digest() for line in found]
+                nodes = pa.array(digests, pa.binary())
+                hashes = np.frombuffer(b"".join(digests), np.int64)[::2] if near == "edits" else simhash(found).view(np.int64)
                 norms = np.full(len(which), None, object)
                 norms[np.unique(which, return_index=True)[1]] = found
-                columns = [ids.take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()), nodes.take(pa.array(which)), pa.array(simhash(found).view(np.int64)[which]), pa.array(norms, pa.string())]
+                columns = [ids.take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()), nodes.take(pa.array(which)), pa.array(hashes[which]), pa.array(norms, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "node", "simhash", "norm"])
 
     text_batches(docs.sparkSession)
@@ -241,7 +316,27 @@ def _without_ends(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *ends], names=["a", "b", "most", "x", "y"])
 
 
-def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> DataFrame:
+def _unlike_grams(x: str, y: str) -> int:
+    """Character pairs, folded to 1024 kinds, that one of two texts has more of: an edit makes at most four."""
+    kinds = []
+    for t in (x, y):
+        c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        kinds.append(np.bincount((c[:-1] * np.uint32(31) + c[1:]) & np.uint32(1023), minlength=1024))
+    return int(np.abs(kinds[0] - kinds[1]).sum())
+
+
+def _near_without_ends(batches):
+    """``_without_ends`` of the pairs that may be within ``most`` edits; one function, so that a task has one Python worker."""
+
+    def may_be_near():
+        for batch in batches:
+            some = [_unlike_grams(x, y) <= 4 * most for most, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield batch.filter(pa.array(some, pa.bool_()))
+
+    return _without_ends(may_be_near())
+
+
+def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS, near: str = "bits") -> DataFrame:
     """(row_id, line_no, node, class, kept) of every line that is long enough to be judged.
 
     ``node`` is the MD5 of the normalised line, ``class`` the least node of
@@ -249,16 +344,21 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
     (nulls last), then the first line, is kept, and of repeated rows one.
     Lines of fewer than ``least_chars`` normalised characters, so those of null
     and empty texts, are not judged.  Long lines are taken whole.
+    With ``near="bits"`` lines also need SimHashes within three bits; with
+    ``near="edits"`` edit similarity alone links the lines that meet.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    judged = scratch.write(judged_lines(docs, text, row_id, least_chars), "judged")
+    judged = scratch.write(judged_lines(docs, text, row_id, least_chars, near), "judged")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no"))
     nodes = scratch.write(judged.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.min("simhash").alias("simhash")), "nodes")
-    signatures = scratch.write(nodes.groupBy("simhash").agg(F.count(F.lit(1)).alias("n_nodes")), "signatures")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_BATCH_ROWS))
-    # Unlike lines of one signature share a bucket of their own.
-    alike = signatures.where("n_nodes > 1").select(F.xxhash64("simhash").alias("bucket"), "simhash")
-    buckets = near_signatures(signatures.select("simhash"), scratch).unionByName(alike)
+    if near == "edits":
+        buckets = scratch.write(gram_buckets(judged), "buckets")
+    else:
+        signatures = scratch.write(nodes.groupBy("simhash").agg(F.count(F.lit(1)).alias("n_nodes")), "signatures")
+        # Unlike lines of one signature share a bucket of their own.
+        alike = signatures.where("n_nodes > 1").select(F.xxhash64("simhash").alias("bucket"), "simhash")
+        buckets = near_signatures(signatures.select("simhash"), scratch).unionByName(alike)
     members = buckets.join(nodes.select("simhash", "node"), "simhash").select("bucket", "node")
     members = scratch.write(members, "members")
     text_batches(docs.sparkSession)
@@ -270,9 +370,9 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
         of = lambda end, t: texts.select(F.col("node").alias(end), F.col("simhash").alias(f"h{end}"), F.col("norm").alias(t))
         apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
         most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
-        near = (apart <= BITS_APART) & (F.abs(F.length("x") - F.length("y")) <= most)
-        pairs = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(near).select("a", "b", most.alias("most"), "x", "y")
-        cut = pairs.mapInArrow(_without_ends, "a binary, b binary, most int, x string, y string")
+        close = (F.lit(near == "edits") | (apart <= BITS_APART)) & (F.abs(F.length("x") - F.length("y")) <= most)
+        pairs = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(close).select("a", "b", most.alias("most"), "x", "y")
+        cut = pairs.mapInArrow(_near_without_ends if near == "edits" else _without_ends, "a binary, b binary, most int, x string, y string")
         # A distance costs time by its bound: most pairs are much nearer than they must be.
         bounds = (F.expr(f"levenshtein(x, y, cast(most div {part} as int))") >= 0 for part in (16, 4, 1))
         return cut.where(reduce(or_, bounds, F.greatest(F.length("x"), F.length("y")) <= F.col("most"))).select("a", "b")
@@ -289,13 +389,13 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
     return lines.withColumn("kept", F.col("kept") & (turn == 1)).select(F.col("id").alias(row_id), "line_no", "node", "class", "kept")
 
 
-def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> DataFrame:
+def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS, near: str = "bits") -> DataFrame:
     """``docs`` with the lines that ``fuzzy_lines`` does not keep cut from the text.
 
     Repeated rows with the same id lose a line if any of them does.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    judged = fuzzy_lines(docs, text, row_id, similarity, least_chars).where(~F.col("kept"))
+    judged = fuzzy_lines(docs, text, row_id, similarity, least_chars, near).where(~F.col("kept"))
     dropped = scratch.write(judged.groupBy(F.col(row_id).alias("__t_id")).agg(F.collect_set("line_no").alias("__t_drop")), "dropped")
     joined = docs.join(dropped, F.col(row_id).cast("long").eqNullSafe(F.col("__t_id")), "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__t_drop", i))
@@ -303,8 +403,8 @@ def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id"
 
 
 def line_digest(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """For each id: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined."""
+    """For each id: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined; lines are linked by edit similarity alone."""
     totals = docs.select(F.col(row_id).cast("long").alias(row_id), (F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))), F.lit(0)) + 1).cast("long").alias("n_lines"))
-    judged = fuzzy_lines(docs, text, row_id).groupBy(F.col(row_id).alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("__t_drop"))
+    judged = fuzzy_lines(docs, text, row_id, near="edits").groupBy(F.col(row_id).alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("__t_drop"))
     joined = totals.join(judged, totals[row_id].eqNullSafe(judged["__t_id"]), "left")
     return joined.select(row_id, "n_lines", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), F.coalesce(F.size("__t_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("__t_drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped_lines"))

@@ -290,6 +290,60 @@ def test_lines(spark, odd, none):
     assert lines.line_digest(odd).count() == 14 and lines.drop_fuzzy_lines(odd).count() == 14 and lines.line_digest(none).count() == 0
 
 
+def test_lines_by_edits_alone(spark):
+    rng = random.Random(71)
+    base = [words(rng, n) for n in (6, 10, 20, 30, 40, 60) * 3]
+    docs = []
+    for i in range(60):
+        own = rng.choice(base).split()
+        for _ in range(rng.randrange(1 + len(own) // 10)):
+            own[rng.randrange(len(own))] = words(rng, 1)
+        docs.append((i, " ".join(own), None))
+    norm = dict(zip(range(60), (lines.normalised_lines(text)[0].decode() for _, text, _ in docs)))
+    sig = lines.simhash([t.encode() for t in norm.values()]).tolist()
+    parent = list(range(60))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for i in range(60):
+        for j in range(i):
+            if edit_similarity(norm[i], norm[j]) >= lines.SIMILARITY:
+                far += bin(sig[i] ^ sig[j]).count("1") > lines.BITS_APART
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.line_digest(df).collect()}
+    assert far > 30 and got == {i: int(find(i) != i) for i in range(60)}
+    cut = lines.drop_fuzzy_lines(df, near="edits").where("text != ''").collect()
+    assert {r["doc_id"] for r in cut} == {i for i in range(60) if find(i) == i}
+
+
+def test_gram_bands_recall():
+    """Of pairs with one word in ten replaced, and with edits in one of twenty characters, the shares that the bands let meet."""
+    rng = random.Random(72)
+    for changed, least in (("words", 0.99), ("characters", 0.9)):
+        pairs = []
+        for _ in range(400):
+            x = words(rng, 40)
+            if changed == "words":
+                own = x.split()
+                for at in rng.sample(range(40), 4):
+                    own[at] = words(rng, 1)
+                y = " ".join(own)
+            else:
+                own = list(x)
+                for at in rng.sample(range(len(x)), len(x) // 20):
+                    own[at] = "q"
+                y = "".join(own)
+            pairs += [x.encode(), y.encode()]
+        keys = lines.gram_keys(pairs)
+        assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= least, changed
+
+
 # 8
 
 
