@@ -34,7 +34,7 @@ BITS_APART = 3
 BLOCKS = 5
 #: Edit similarity: one less the edit distance over the longer length.
 SIMILARITY = 0.8
-#: Shorter normalised lines (in characters) are never dropped.
+#: Shorter normalised lines (in characters) are not judged by ``fuzzy_lines`` and ``drop_fuzzy_lines`` unless asked for.
 LEAST_CHARS = 24
 #: Signatures of a bucket that one task compares at once; a larger bucket is divided by further blocks.
 TOGETHER = 512
@@ -403,8 +403,8 @@ def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id"
 
 
 def line_digest(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """For each id: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined; lines are linked by edit similarity alone."""
+    """For each id: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined; all lines that are not empty once normalised are judged, by edit similarity alone."""
     totals = docs.select(F.col(row_id).cast("long").alias(row_id), (F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))), F.lit(0)) + 1).cast("long").alias("n_lines"))
-    judged = fuzzy_lines(docs, text, row_id, near="edits").groupBy(F.col(row_id).alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("__t_drop"))
+    judged = fuzzy_lines(docs, text, row_id, least_chars=1, near="edits").groupBy(F.col(row_id).alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("__t_drop"))
     joined = totals.join(judged, totals[row_id].eqNullSafe(judged["__t_id"]), "left")
     return joined.select(row_id, "n_lines", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), F.coalesce(F.size("__t_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("__t_drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped_lines"))

@@ -322,6 +322,12 @@ def test_lines_by_edits_alone(spark):
     assert {r["doc_id"] for r in cut} == {i for i in range(60) if find(i) == i}
 
 
+def test_short_lines(spark):
+    docs = [(1, "Home\nEin Satz, der hier steht und lang genug ist.\n...\nHome", None), (2, "home!\nAll rights reserved\n", None), (3, "all rights  reserved.\nx", None), (4, "y\nHOME", None)]
+    got = {r["doc_id"]: (r["n_judged"], r["dropped_lines"]) for r in lines.line_digest(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {1: (3, "3"), 2: (2, "0"), 3: (2, "0"), 4: (2, "1")}
+
+
 def test_gram_bands_recall():
     """Of pairs with one word in ten replaced, and with edits in one of twenty characters, the shares that the bands let meet."""
     rng = random.Random(72)
