@@ -77,18 +77,60 @@ class LshIndex(ExactIndex):
 
 
 class IvfIndex(ExactIndex):
-    """Cells of k-means centres; the cells nearest to the query are ranked exactly."""
+    """Cells of k-means centres of the vectors' directions.
+
+    ``candidates`` has the cells nearest to the query; ``search`` also takes
+    every other cell that can hold something as near as the k-th of those, so
+    its recall is 1.
+    """
 
     def __init__(self, rows: DataFrame, id_: str = "id", vector: str = "vector", cells: int = 8, probes: int = 1, iterations: int = 10, seed: int = 0):
         super().__init__(rows, id_, vector)
         self.probes = probes
-        self.model = KMeans(k=cells, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cell").fit(self.rows.withColumn("features", array_to_vector("vector")))
+        self.model = KMeans(k=cells, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cell").fit(self._features())
         self.centres = np.array(self.model.clusterCenters())
+        self.radii = None
+
+    def insert(self, rows: DataFrame) -> None:
+        super().insert(rows)
+        self.radii = None
+
+    def _features(self) -> DataFrame:
+        length = norm(F.col("vector"))
+        unit = F.when(length == 0, F.col("vector")).otherwise(F.transform("vector", lambda x: x / length))
+        return self.rows.withColumn("features", array_to_vector(unit))
+
+    def _placed(self) -> DataFrame:
+        return self.model.transform(self._features())
+
+    def _apart(self, query) -> np.ndarray:
+        q = np.array(query, float)
+        return np.linalg.norm(self.centres - q / max(np.linalg.norm(q), 1e-300), axis=1)
+
+    def _of_cells(self, cells) -> DataFrame:
+        return self._placed().where(F.col("cell").isin([int(c) for c in cells])).select("id", "vector")
 
     def candidates(self, query) -> DataFrame:
-        near = np.argsort(((self.centres - np.array(query, float)) ** 2).sum(axis=1))[: self.probes]
-        placed = self.model.transform(self.rows.withColumn("features", array_to_vector("vector")))
-        return placed.where(F.col("cell").isin([int(c) for c in near])).select("id", "vector")
+        return self._of_cells(np.argsort(self._apart(query))[: self.probes])
+
+    def _bounds(self, query) -> np.ndarray:
+        """The least cosine distance that a vector of each cell can have, which is half the squared distance of directions."""
+        if self.radii is None:
+            centres = F.array(*[_query(c) for c in self.centres])
+            apart = F.sqrt(F.aggregate(F.zip_with(vector_to_array("features"), centres[F.col("cell")], lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda t, x: t + x))
+            self.radii = np.full(len(self.centres), -np.inf)
+            for cell, radius in self._placed().groupBy("cell").agg(F.max(apart)).collect():
+                self.radii[cell] = radius
+        return np.maximum(self._apart(query) - self.radii, 0) ** 2 / 2
+
+    def search(self, query, k: int) -> DataFrame:
+        found = super().search(query, k).collect()
+        reach = found[-1]["distance"] if len(found) == k > 0 else np.inf
+        bounds = self._bounds(query)
+        near = np.argsort(self._apart(query))[: self.probes]
+        cells = np.union1d(near, np.flatnonzero((bounds <= reach + 1e-9) & np.isfinite(bounds)))
+        ranked = self._of_cells(cells).select("id", cosine_distance(F.col("vector"), _query(query)).alias("distance"))
+        return ranked.orderBy("distance", "id").limit(k)
 
 
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector: str = "vector") -> DataFrame:

@@ -227,6 +227,21 @@ def test_ann_recall(spark):
     assert found["ivf"] >= 36 and found["lsh"] >= 36
 
 
+def test_registered_ivf_recall(spark, tmp_path):
+    import numpy as np
+    from tessera.queries import _index
+
+    rng = np.random.default_rng(2)
+    rows = [(i, (v * (1 + i % 3)).tolist()) for i, v in enumerate(rng.standard_normal((600, 16)))] + [(600, [0.0] * 16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    exact, ivf = ([tuple(r) for r in _index(kind)(spark, str(tmp_path)).collect()] for kind in ("exact", "ivf"))
+    assert len(ivf) == 10 and ivf == exact
+    table = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    index, all_ = ann.IvfIndex(table, "vec_id", "embedding"), ann.ExactIndex(table, "vec_id", "embedding")
+    for query in (rows[7][1], rows[300][1], [0.0] * 16):
+        assert index.search(query, 10).collect() == all_.search(query, 10).collect()
+
+
 def test_extensions(spark, db, tmp_path):
     db.registry.register(Extension("d", "1", [vectorised("DOUBLE", lambda x: x * 2, ("number",), "int")]))
     assert db.call_function("DOUBLE", 21) == 42
