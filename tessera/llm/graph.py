@@ -1,14 +1,36 @@
-"""Links within groups, without all pairs of a group, and connected components."""
+"""Classes of linked nodes, without all pairs of a group, and connected components.
+
+Nodes that may be alike share buckets.  Each node goes home to the largest of
+its buckets, homes are cut into chunks of bounded size, and a chunk is compared
+in one task: homes are disjoint, so its classes need no component search.  One
+member of each class then stands for it in the buckets of all its members, and
+the same is done with these until no more classes join.  Last, in the buckets
+that still hold several classes, every node outside of the largest is compared
+with all members in blocks, so the classes are those of all pairs that share a
+bucket and are alike.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Nodes, and bytes of their bodies, that one task compares at once.
+CHUNK, CHUNK_BYTES = 512, 16 << 20
+#: Where less than this share of the nodes of a level join others, the rest is left to the last comparison.
+FEW_JOINS = 0.05
+#: Nodes of either side in one block of the last comparison.
+OUTSIDE, INSIDE = 256, 1024
+#: Bytes of bodies of whole groups that are handed over at once.
+_GROUPS_BYTES = 2 << 20
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of the nodes of ``edges`` (a, b): comp is the component's least node.
@@ -22,7 +44,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = _mark(own)
     while mark[0]:
         both = own.unionByName(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = own.groupBy("u").agg(F.min("v").alias("m")).unionByName(own.groupBy(F.col("v").alias("u")).agg(F.min("v").alias("m"))).groupBy("u").agg(F.min("m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large.distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -41,74 +63,191 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-#: Rounds of comparing with one member of a bucket before all remaining pairs are compared.
-STAR_ROUNDS = 3
-#: Nodes of either side in one block of the last comparison.
-OUTSIDE, INSIDE = 64, 512
-
-
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, comp) for nodes linked by verified pairs of a common bucket.
+def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``run`` on whole groups of ``rows``, many small ones at once: it gets a table, in order of node, and the bounds of the groups in it.
 
-    ``members`` has (bucket, node); ``verify`` keeps the pairs (a, b) that hold.
-    First every member is compared to its bucket's head, the node that meets
-    most others in all its buckets: an original heads the buckets of its
-    copies.  In further rounds the members outside a bucket's largest component
-    are compared to one member of it, another each round.  At last all pairs of
-    one bucket whose nodes are still in different components are compared, so
-    the components are those of all verified pairs, while a group that has
-    become one component costs no more.
+    A group must fit into memory; groups are streamed, not held together.
+    """
 
-    That last comparison is of blocks: the outside members of a bucket in
-    blocks of about OUTSIDE, each with blocks of about INSIDE of all members.
-    ``cross`` takes (bucket, i, j, outside, node, comp) and gives the links
-    (a, b) of each block; without it the pairs go to ``verify``.
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def whole(table: pa.Table, last: bool):
+            new = np.zeros(table.num_rows, bool)
+            new[0] = True
+            for key in keys:
+                column = table.column(key).to_numpy()
+                new[1:] |= column[1:] != column[:-1]
+            bounds = np.flatnonzero(new)
+            end = table.num_rows if last else int(bounds[-1])
+            if last:
+                bounds = np.append(bounds, end)
+            out = run(table.slice(0, end), bounds).to_batches() if end else []
+            return out, table.slice(end)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= _GROUPS_BYTES:
+                out, rest = whole(pa.Table.from_batches(held), False)
+                yield from out
+                # A copy, so that what has been handed over can go.
+                held = rest.take(pa.array(np.arange(rest.num_rows))).combine_chunks().to_batches() if out else rest.to_batches()
+                size = sum(b.nbytes for b in held) if out else 0
+        if held:
+            yield from whole(pa.Table.from_batches(held), True)[0]
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(stream, schema)
+
+
+def _shared(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of buckets of several nodes, with the bucket's nodes and bytes; the counts are written, so that a join can split a large bucket."""
+    often = scratch.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "often")
+    return members.join(often, "bucket")
+
+
+def _homes(shared: DataFrame) -> DataFrame:
+    """(node, size, home, chunk) of each node."""
+    most = F.max_by(F.struct("bucket", "n", "bytes"), F.struct("n", "bucket")).alias("most")
+    chunks = F.ceil(F.greatest(F.col("most.n") / CHUNK, F.col("most.bytes") / CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
+    return shared.groupBy("node").agg(most, F.first("size").alias("size")).select("node", "size", F.col("most.bucket").alias("home"), chunk.alias("chunk"))
+
+
+def link_groups(
+    members: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    classes: Callable[[list[bytes], np.ndarray], np.ndarray],
+    cross: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, Callable], tuple[np.ndarray, np.ndarray]],
+    scratch: Scratch,
+) -> DataFrame:
+    """(node, comp) of the nodes of shared buckets, comp being a member of the class.
+
+    ``members`` has (bucket, node, size), each pair once, size in bytes;
+    ``fetch`` adds ``body`` to (node, size, home, chunk), repeating rows at will.
+    ``classes`` gets bodies and the bounds of groups and gives each body the
+    row of its class's member; ``cross`` gets bodies, bounds, marks of the rows
+    that are to be compared with the others, numbers of classes, and a function
+    of (a, b) that gives the pairs of rows of the group from a to b that no
+    other block and no chunk has; it gives links between classes.
     """
-    often = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = scratch.write(members.join(often, "bucket"), "members")
-    degrees = first.groupBy("node").agg(F.sum("n").alias("degree"))
-    multi = scratch.write(first.join(degrees, "node").select("bucket", "node", "degree"), "members")
-    scratch.drop(first)
-    heads = multi.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("head"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    done = scratch.write(multi.join(heads, "bucket").where("node != head").select(*pair("head", "node")).distinct(), "pairs")
-    comp = scratch.write(components(scratch.write(verify(done), "links"), scratch), "components")
-
-    def mixed_buckets() -> DataFrame:
-        """Members of buckets of several components, with the largest, and the numbers of members in and outside of it."""
-        labelled = multi.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        major = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), (F.sum("n") - F.max("n")).alias("n_out"), F.sum("n").alias("n_all")).where("n_out > 0")
-        return scratch.write(labelled.join(major, "bucket"), "mixed")
-
-    def joined(more: DataFrame) -> DataFrame:
-        if more.isEmpty():
-            return comp
-        stars = comp.where("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-        return scratch.write(components(stars.unionByName(more.select("a", "b")), scratch), "components")
 
-    for round_ in range(STAR_ROUNDS):
-        mixed = mixed_buckets()
+    def join_classes(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        nodes = table.column("node").combine_chunks()
+        new = np.ones(table.num_rows, bool)
+        new[1:] = pc.not_equal(nodes.slice(1), nodes.slice(0, table.num_rows - 1)).to_numpy(zero_copy_only=False)
+        new[bounds[:-1]] = True
+        if not new.all():  # repeated rows
+            table, bounds = table.filter(pa.array(new)), np.append(0, np.cumsum(new))[bounds]
+        of = classes(table.column("body").cast(pa.binary()).to_pylist(), bounds)
+        # The body goes on with the member that stands for the class.
+        own = pa.array(of == np.arange(len(of)))
+        bodies = pc.if_else(own, table.column("body"), pa.scalar(None, pa.string()))
+        return pa.table({"node": table.column("node"), "comp": table.column("node").take(pa.array(of)), "size": table.column("size"), "body": bodies})
+
+    joined = "node binary, comp binary, size long, body string"
+    shared = scratch.write(_shared(members, scratch), "members")
+    bodies = scratch.write(fetch(_homes(shared)), "bodies")
+    found = scratch.write(by_group(bodies, ["home", "chunk"], join_classes, joined), "classes")
+    comp = found.select("node", "comp")
+    mixed = shared.select("bucket", "node")
+    while True:
+        # The members that stand for classes, in all buckets of these.
+        own = mixed.join(found.select("node", "comp"), "node").select("bucket", F.col("comp").alias("node")).distinct()
+        reps = found.where("body IS NOT NULL").select("node", "size", "body")
+        mixed = scratch.write(_shared(own.join(reps.select("node", "size"), "node"), scratch), "mixed")
         if mixed.isEmpty():
             return comp
-        one = mixed.where("comp = major").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("one"))
-        pairs = mixed.where("comp != major").join(one, "bucket").select(*pair("one", "node")).distinct()
-        new = scratch.write(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        comp = joined(scratch.write(verify(new), "links"))
-        done = done.unionByName(new)
-        scratch.drop(mixed)
-    mixed = mixed_buckets()
-    if mixed.isEmpty():
-        return comp
+        at = _homes(mixed).join(reps.drop("size"), "node")
+        found = scratch.write(by_group(at, ["home", "chunk"], join_classes, joined), "classes")
+        joins, nodes = found.agg(F.count_if(F.col("node") != F.col("comp")), F.count(F.lit(1))).first()
+        if not joins:
+            break
+        after = found.select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
+        comp = scratch.write(comp.join(after, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")), "comps")
+        if joins < FEW_JOINS * nodes:
+            break
+    labelled = shared.select("bucket", "node").join(mixed.select("bucket").distinct(), "bucket").join(comp, "node")
+    labelled = scratch.write(labelled, "labelled")
+    # A pair of several buckets is compared in the least of them.
+    of_node = bodies.select("node", "home", "chunk", "body").join(labelled.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")
+    sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), (F.sum("n") - F.max("n")).alias("n_out"), F.sum("n").alias("n_all"))
+    within = labelled.join(scratch.write(major, "major"), "bucket")
     rows, cols = F.ceil(F.col("n_out") / OUTSIDE), F.ceil(F.col("n_all") / INSIDE)
     block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    outside = mixed.where("comp != major").select("bucket", block(rows, 11).alias("i"), all_of(cols).alias("j"), F.lit(True).alias("outside"), "node", "comp")
-    inside = mixed.select("bucket", all_of(rows).alias("i"), block(cols, 12).alias("j"), F.lit(False).alias("outside"), "node", "comp")
-    if cross is not None:
-        return joined(scratch.write(cross(outside.unionByName(inside)), "links"))
-    x = outside.select("bucket", "i", "j", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    y = inside.select("bucket", "i", "j", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    same = (x["bucket"] == y["bucket"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & (x["cx"] != y["cy"])
-    pairs = x.join(y, same).select(*pair("x", "y")).distinct()
-    return joined(scratch.write(verify(pairs.join(done, ["a", "b"], "left_anti")), "links"))
+    all_of = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
+    outside = F.col("comp") != F.col("major")
+    # A node outside of the largest class stands in a row of blocks as outside, and in a column as all do.
+    here = F.struct(F.array(block(rows, 11)).alias("i"), all_of(cols).alias("j"), F.lit(2).alias("side"))
+    there = F.struct(all_of(rows).alias("i"), F.array(block(cols, 12)).alias("j"), outside.cast("int").alias("side"))
+    blocks = within.select("bucket", "node", "comp", F.explode(F.when(outside, F.array(here, there)).otherwise(F.array(there))).alias("b"))
+    blocks = blocks.select("bucket", "node", "comp", "b.side", "b.j", F.explode("b.i").alias("i")).select("bucket", "node", "comp", "side", "i", F.explode("j").alias("j"))
+
+    def cross_links(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        comps, number = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)
+        side, homes, chunks = (table.column(c).to_numpy() for c in ("side", "home", "chunk"))
+        at, lists = table.column("bucket").to_numpy(), table.column("buckets").to_pylist()
+
+        def pairs(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            x, y = a + np.flatnonzero(side[a:b] == 2), a + np.flatnonzero(side[a:b] < 2)
+            open_ = number[x][:, None] != number[y]
+            open_ &= (homes[x][:, None] != homes[y]) | (chunks[x][:, None] != chunks[y])
+            # Two nodes outside of the largest class meet twice; rows are in order of node.
+            open_ &= (side[y] == 0) | (x[:, None] < y)
+            for rows in (smaller := _members_of(lists, a, b, at[a])):
+                open_[np.ix_(np.isin(x, smaller[rows]), np.isin(y, smaller[rows]))] = False
+            i, j = np.nonzero(open_)
+            return x[i], y[j]
+
+        a, b = cross(table.column("body").cast(pa.binary()).to_pylist(), bounds, side == 2, number, pairs)
+        named = pa.array(comps.tolist(), pa.binary())
+        return pa.table({"a": named.take(pa.array(a, pa.int64())), "b": named.take(pa.array(b, pa.int64()))})
+
+    links = blocks.join(of_node, "node")
+    links = scratch.write(by_group(links, ["bucket", "i", "j"], cross_links, "a binary, b binary"), "links")
+    if links.isEmpty():
+        return comp
+    after = components(links, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
+    return scratch.write(comp.join(after, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")), "comps")
+
+
+def _members_of(lists: list[list[int]], a: int, b: int, bucket: int) -> dict[int, list[int]]:
+    """Buckets less than ``bucket`` of several rows from a to b, and those rows."""
+    out: dict[int, list[int]] = {}
+    for row in range(a, b):
+        for other in lists[row]:
+            if other < bucket:
+                out.setdefault(other, []).append(row)
+    return {k: rows for k, rows in out.items() if len(rows) > 1}
+
+
+class Joined:
+    """Classes of the rows of one group, as pairs are found."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links = np.zeros(n, np.int64)
+        self.done = np.zeros(n, bool)
+
+    def next(self) -> int | None:
+        """A row not yet compared, outside of the largest class: when there is none, all pairs across classes have been compared."""
+        largest = np.bincount(self.label).argmax()
+        open_ = np.flatnonzero((self.label != largest) & ~self.done)
+        return int(open_[0]) if len(open_) else None
+
+    def add(self, row: int, alike: np.ndarray) -> None:
+        """``row`` has been compared with all others, and is like those."""
+        self.done[row] = True
+        self.links[row] = len(alike)
+        labels = np.unique(self.label[np.append(alike, row)])
+        self.label[np.isin(self.label, labels)] = labels[0]
+
+    def members(self) -> np.ndarray:
+        """For each row the row of its class that has the most links, the first of those."""
+        order = np.lexsort((np.arange(len(self.label)), -self.links, self.label))
+        first = np.flatnonzero(np.append(True, np.diff(self.label[order]) != 0))
+        best = np.zeros(len(self.label), np.int64)
+        best[self.label[order][first]] = order[first]
+        return best[self.label]

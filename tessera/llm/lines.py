@@ -1,55 +1,47 @@
 """Fuzzy line deduplication.
 
-Lines are normalised; equal normalised lines are one node.  A 64-bit SimHash
-of a line's words is cut into blocks; by the pigeonhole principle lines within
-three bits share two of five blocks, so their signatures meet in one of ten
-buckets.  Only signatures that have another one within three bits in a bucket
-go on; pairs of their lines are verified by edit similarity, and one occurrence
-of each connected group is kept.
-
-SimHashes of lines that differ in a word or two are mostly further apart than
-that.  With ``near="edits"``, as in ``line_digest``, lines meet instead where
-two minima of hashes of their character grams agree, in any of BANDS choices of
-two, and edit similarity alone decides.
+Lines are normalised; equal normalised lines are one node.  A line's signature
+is made of blocks: the SimHash of each run of seven words, of which the least
+few are kept, and in a line of few words the SimHash of the others for each
+word left out.  By the pigeonhole principle lines that differ in fewer places
+than they have blocks share one, so lines are joined on blocks; pairs that meet
+are verified by edit similarity alone, and one occurrence of each connected
+group is kept.
+
+The SimHash of a whole line is no use for this: where a word or two of a line
+change, about 4 to 10 of its 64 bits do, and blocks of bits that allow for so
+many are shared by unlike lines.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import partial
 from hashlib import md5
-from itertools import combinations
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import link_groups
+from .graph import Joined, link_groups
 from .scratch import Scratch, text_batches
 from .words import Words, byte_groups, mix
 
-#: SimHashes within so many bits are candidates.
-BITS_APART = 3
-BLOCKS = 5
 #: Edit similarity: one less the edit distance over the longer length.
 SIMILARITY = 0.8
-#: Shorter normalised lines (in characters) are not judged by ``fuzzy_lines`` and ``drop_fuzzy_lines`` unless asked for.
-LEAST_CHARS = 24
-#: Signatures of a bucket that one task compares at once; a larger bucket is divided by further blocks.
-TOGETHER = 512
-#: Characters (bytes) of a gram, and minima of gram hashes, each of which is in two of the bands.
-GRAM, BANDS = 12, 24
-#: Lines of fewer bytes also have grams that go beyond their ends.
-PADDED = 48
-#: Rows in one Arrow batch of signatures.
-NUMBER_BATCH_ROWS = 8192
+#: Blocks of runs of RUN words that a line's signature keeps.
+RUN, BLOCKS = 7, 8
+#: Lines of so many words at most also have a block for each word that is left out, and one of all words.
+FEW_WORDS = 16
+#: Bits of the map that tells which lines share a block: 16 MB, whatever the corpus; where it fills up, more lines are fetched than need be.
+MAP_BITS = 1 << 27
 _SLICE = 1 << 20
-_GRAM_BASE = 0x9E3779B97F4A7C15
-_LANES = np.uint64(0x0101010101010101)
-_MOST_IN_LANE = 255
 #: Digits as 0, and what is no letter, digit or line feed as a space.
 _PLAIN = bytes(b if b >= 0x80 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
+#: A character from U+3000 on: it counts as a word.
+_WIDE = re.compile(rb"[\xe3-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
 def normalised_line(line):
@@ -67,344 +59,310 @@ def normalised_lines(text: str) -> list[bytes]:
     return out.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
 
 
-def simhash(texts: list[bytes]) -> np.ndarray:
-    """Each text's majority of the bits of its words' hashes; texts without words get 0.
-
-    Bits are counted in the eight bytes of a word at once, over at most 255 words.
-    """
-    words = Words(texts)
-    counts = np.diff(words.bounds)
-    out = np.zeros(len(texts), np.uint64)
-    if not len(words.hashes):
-        return out
-    some = np.flatnonzero(counts)
-    counts = counts[some]
-    runs = -(-counts // _MOST_IN_LANE)
-    first = np.cumsum(runs) - runs
-    starts = np.repeat(words.bounds[:-1][some], runs) + _MOST_IN_LANE * (np.arange(runs.sum()) - np.repeat(first, runs))
-    hashes = mix(words.hashes)
-    sums = np.stack([np.add.reduceat((hashes >> np.uint64(i)) & _LANES, starts) for i in range(8)], axis=1)
-    lanes = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
-    totals = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
-    out[some] = np.packbits(2 * totals > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _block_masks(apart: int, blocks: int) -> list[int]:
-    """Masks of the bits of each choice of blocks - apart blocks."""
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    masks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:])]
-    return [sum(masks[j] for j in chosen) for chosen in combinations(range(blocks), blocks - apart)]
+def _majority(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """SimHashes, of how often each bit is set in so many words."""
+    return np.packbits(2 * counts > of[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def block_keys(hashes: np.ndarray, apart: int = BITS_APART, blocks: int = BLOCKS) -> np.ndarray:
-    """A key for each choice of blocks - apart blocks, unlike between choices."""
-    keys = [mix((hashes & np.uint64(mask)) ^ np.uint64((0xA0761D6478BD642F * (i + 1)) % 2**64)) for i, mask in enumerate(_block_masks(apart, blocks))]
-    return np.stack(keys, axis=1).view(np.int64)
-
-
-def _rest_masks() -> np.ndarray:
-    """For each choice of blocks the other bits in BITS_APART + 1 parts, of which one has no unlike bit."""
-    parts = [np.array_split([i for i in range(64) if not mask >> i & 1], BITS_APART + 1) for mask in _block_masks(BITS_APART, BLOCKS)]
-    return np.array([[sum(1 << int(i) for i in part) for part in of] for of in parts], np.uint64)
-
-
-def finer_keys(buckets: np.ndarray, hashes: np.ndarray, choices: np.ndarray) -> np.ndarray:
-    """Keys that divide a bucket: signatures within three bits share one of them."""
-    parts = hashes[:, None] & _rest_masks()[choices]
-    salts = mix(buckets.view(np.uint64))[:, None] + np.arange(1, BITS_APART + 2, dtype=np.uint64)
-    return mix(parts ^ mix(salts)).view(np.int64)
+def simhash(texts: list[bytes]) -> np.ndarray:
+    """Each text's majority of the bits of its words' hashes; texts without words get 0."""
+    words = Words(texts)
+    counts = np.diff(words.bounds)
+    out, some = np.zeros(len(texts), np.uint64), np.flatnonzero(counts)
+    if len(some):
+        sums = np.add.reduceat(_bits(mix(words.hashes)), words.bounds[:-1][some], axis=0, dtype=np.int64)
+        out[some] = _majority(sums, counts[some])
+    return out
 
 
-def gram_minima(texts: list[bytes], n: int = BANDS) -> np.ndarray:
-    """The least of each of n hashes of a text's character grams; texts must not be empty."""
-    pad = b"\0" * (GRAM - 1)
-    own = [t if len(t) >= PADDED else pad + t + pad for t in texts]
-    chars = np.frombuffer(b"".join(own), np.uint8).astype(np.uint64)
-    counts = np.array([len(t) for t in own])
-    starts = np.cumsum(counts) - counts
-    grams = np.zeros(len(chars) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        grams *= np.uint64(_GRAM_BASE)
-        grams += chars[i : i + len(grams)]
-    grams = (mix(grams) >> np.uint64(32)).astype(np.uint32)
-    # Grams that go over from one text to the next are in the odd ranges.
-    edges = np.stack([starts, starts + counts - GRAM + 1], axis=1).ravel()
-    edges = edges[:-1] if edges[-1] >= len(grams) else edges
-    odd = mix(np.arange(1, n + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-    return np.stack([np.minimum.reduceat(grams * by, edges)[::2] for by in odd], axis=1)
+def _run_simhash(hashes: np.ndarray) -> np.ndarray:
+    """SimHashes of each seven words in a row: bits that four of them have, by adding bits three at a time."""
+
+    def add(x, y, z):
+        both = x ^ y
+        return both ^ z, x & y | both & z
+
+    n = max(0, len(hashes) - RUN + 1)
+    a, b, c, d, e, f, g = (hashes[i : i + n] for i in range(RUN))
+    (ones_1, twos_1), (ones_2, twos_2) = add(a, b, c), add(d, e, f)
+    twos_3 = add(ones_1, ones_2, g)[1]
+    # Four or more have a bit if two of the pairs do.
+    return add(twos_1, twos_2, twos_3)[1]
+
+
+def line_blocks(texts: list[bytes], blocks: int = BLOCKS, few: int = FEW_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key) of the blocks of normalised lines, in order of the texts."""
+    words = Words([_WIDE.sub(rb" \g<0> ", t) if max(t, default=0) > 0xE2 else t for t in texts])
+    hashes, counts, bounds = mix(words.hashes), np.diff(words.bounds), words.bounds
+    owner = np.repeat(np.arange(len(texts)), counts)
+    runs = np.flatnonzero(owner[: 1 - RUN] == owner[RUN - 1 :])
+    keys, own = mix(_run_simhash(hashes)[runs]), owner[runs]
+    order = np.lexsort((keys, own)) if len(texts) >= 1 << 20 else np.argsort(keys >> np.uint64(20) | own.astype(np.uint64) << np.uint64(44))
+    keys, own = keys[order], own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])
+    keys, own = keys[new], own[new]
+    first = np.searchsorted(own, np.arange(len(texts)))
+    least = np.arange(len(own)) - first[own] < blocks
+    out_own, out_keys = [own[least]], [keys[least]]
+    short = np.flatnonzero((counts > 0) & (counts <= few))
+    if len(short):
+        # All words, and all but one.
+        at = np.flatnonzero(np.isin(owner, short))
+        bits, n = _bits(hashes[at]).astype(np.int16), counts[short]
+        sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0)
+        salted = lambda sig, n: mix(sig ^ mix(n.astype(np.uint64)))
+        out_own.append(short)
+        out_keys.append(salted(_majority(sums, n), n))
+        rest = np.repeat(n, n) - 1
+        some = np.flatnonzero(rest)
+        out_own.append(owner[at][some])
+        out_keys.append(salted(_majority((np.repeat(sums, n, axis=0) - bits)[some], rest[some]), rest[some]))
+    return np.concatenate(out_own), np.concatenate(out_keys)
+
+
+def _lines(batches, least_chars: int):
+    """(batch, distinct normalised lines, their owners in the batch, numbers and place among the distinct ones)."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        for part in byte_groups([len(t or "") for t in texts], _SLICE):
+            owners, numbers, which, own = [], [], [], {}
+            for i in range(part.start, part.stop):
+                for number, line in enumerate(normalised_lines(texts[i] or "")):
+                    if len(line) >= least_chars and (line.isascii() or len(line.decode()) >= least_chars):
+                        owners.append(i)
+                        numbers.append(number)
+                        which.append(own.setdefault(line, len(own)))
+            yield batch, list(own), owners, numbers, np.array(which, np.int64)
 
 
-def gram_keys(texts: list[bytes]) -> np.ndarray:
-    """A key for each band, of two minima: texts whose grams have Jaccard similarity J share one with a probability of about 1 - (1 - J**2)**BANDS."""
-    minima = gram_minima(texts).astype(np.uint64)
-    steps = (1, 5)
-    pairs = [minima | np.roll(minima, -step, axis=1) << np.uint64(32) for step in steps]
-    keys = np.concatenate([pair[:, i :: len(steps)] for i, pair in enumerate(pairs)], axis=1)
-    return mix(keys ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+def _numbers(found: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(line) for line in found), np.uint64, len(found))
 
 
-def gram_buckets(judged: DataFrame) -> DataFrame:
-    """(bucket, simhash) of the buckets of several lines; ``simhash`` is here a number for the line."""
+def shared_blocks(docs: DataFrame, text: str, least_chars: int) -> DataFrame:
+    """(bucket, own): the blocks that several lines share; ``own`` is a 64-bit hash of the line."""
 
-    def keyed(batches):
-        for batch in batches:
-            own, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
-            for part in byte_groups([len(t) for t in texts], _SLICE):
-                keys = gram_keys(texts[part])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own[part], BANDS))], names=["bucket", "simhash"])
+    def scan(batches):
+        for _, found, *_ in _lines(batches, least_chars):
+            if found:
+                owner, keys = line_blocks(found)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(_numbers(found)[owner].view(np.int64))], names=["bucket", "own"])
 
     def shared(batches):
-        left = (np.empty(0, np.int64), np.empty(0, np.int64))
-
-        def rows(buckets, own):
+        """Rows in order of both: distinct ones that have another of their bucket; only the last distinct one is held."""
+        last, last_shared = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buckets, own = (c.to_numpy() for c in batch.columns)
+            if last is not None:
+                buckets, own = np.append(last[0], buckets), np.append(last[1], own)
             new = np.ones(len(own), bool)
             new[1:] = (buckets[1:] != buckets[:-1]) | (own[1:] != own[:-1])
             buckets, own = buckets[new], own[new]
-            with_next = np.append(buckets[1:] == buckets[:-1], False) if len(own) else np.empty(0, bool)
-            some = with_next | np.append(False, with_next)[: len(own)]
-            return pa.RecordBatch.from_arrays([pa.array(buckets[some]), pa.array(own[some])], names=["bucket", "simhash"])
-
-        for batch in batches:
-            buckets, own = (np.concatenate([old, c.to_numpy()]) for old, c in zip(left, batch.columns))
-            end = int(np.searchsorted(buckets, buckets[-1])) if len(buckets) else 0
-            left = (buckets[end:], own[end:])
-            yield rows(buckets[:end], own[:end])
-        yield rows(*left)
-
-    keys = judged.where(F.col("norm").isNotNull()).select("simhash", "norm").mapInArrow(keyed, "bucket long, simhash long")
-    return keys.repartition("bucket").sortWithinPartitions("bucket", "simhash").mapInArrow(shared, "bucket long, simhash long")
+            like_next = buckets[1:] == buckets[:-1]
+            some = np.append(like_next, False) | np.append(last_shared, like_next)
+            last, last_shared = (buckets[-1:], own[-1:]), bool(some[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[:-1][some[:-1]]), pa.array(own[:-1][some[:-1]])], names=["bucket", "own"])
+        if last is not None and last_shared:
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["bucket", "own"])
 
+    schema = "bucket long, own long"
+    return docs.select(F.col(text).alias("t")).mapInArrow(scan, schema).repartition("bucket").sortWithinPartitions("bucket", "own").mapInArrow(shared, schema)
 
-def line_rows(docs: DataFrame, text: str, row_id: str) -> DataFrame:
-    """(id, line_no, line) of all lines; a null text has one empty line."""
-    own = docs.select(F.col(row_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return own.select("id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
 
+def _map_of(buckets: DataFrame) -> np.ndarray:
+    """The bits of all lines that share a block, in MAP_BITS."""
+    bit = F.pmod(F.col("own"), F.lit(MAP_BITS))
+    words = buckets.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(own, {MAP_BITS}L), 64L) as int))")).alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint64)
 
-def judged_lines(docs: DataFrame, text: str, row_id: str, least_chars: int, near: str = "bits") -> DataFrame:
-    """(id, line_no, node, simhash, norm) of the lines that are long enough; of equal lines of one batch the first has ``norm``.
 
-    With ``near="edits"``, ``simhash`` is the first half of the node.
-    """
+def judged_lines(docs: DataFrame, text: str, row_id: str, least_chars: int, shared_map: np.ndarray) -> DataFrame:
+    """(id, line_no, node, own, norm) of the lines that are long enough; of equal lines of one batch that share a block the first has ``own`` and ``norm``."""
+    sent = docs.sparkSession.sparkContext.broadcast(shared_map)
 
     def scan(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in byte_groups([len(t or "") for t in texts], _SLICE):
-                owners, numbers, which, own = [], [], [], {}
-                for i in range(part.start, part.stop):
-                    for number, line in enumerate(normalised_lines(texts[i] or "")):
-                        if len(line) >= least_chars and (line.isascii() or len(line.decode()) >= least_chars):
-                            owners.append(i)
-                            numbers.append(number)
-                            which.append(own.setdefault(line, len(own)))
-                found, which = list(own), np.array(which, np.int64)
-                digests = [md5(line, usedforsecurity=False).digest() for line in found]
-                nodes = pa.array(digests, pa.binary())
-                hashes = np.frombuffer(b"".join(digests), np.int64)[::2] if near == "edits" else simhash(found).view(np.int64)
-                norms = np.full(len(which), None, object)
-                norms[np.unique(which, return_index=True)[1]] = found
-                columns = [ids.take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()), nodes.take(pa.array(which)), pa.array(hashes[which]), pa.array(norms, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "node", "simhash", "norm"])
+        bits = sent.value
+        for batch, found, owners, numbers, which in _lines(batches, least_chars):
+            own = _numbers(found)
+            at = own % np.uint64(MAP_BITS)
+            shares = np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            firsts = np.unique(which, return_index=True)[1]
+            norms, hashes = np.full(len(which), None, object), np.full(len(which), None, object)
+            norms[firsts[shares]] = [found[i] for i in shares]
+            hashes[firsts[shares]] = own[shares].view(np.int64).tolist()
+            nodes = pa.array([md5(line, usedforsecurity=False).digest() for line in found], pa.binary())
+            columns = [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(numbers, pa.int32()), nodes.take(pa.array(which)), pa.array(hashes, pa.int64()), pa.array(norms, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "line_no", "node", "own", "norm"])
 
-    text_batches(docs.sparkSession)
     own = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return own.mapInArrow(scan, "id long, line_no int, node binary, simhash long, norm string")
-
-
-def near_classes(buckets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """For each signature the first row of its bucket that it is joined to by steps of three bits, -1 for none; ``buckets`` is sorted."""
-    at, step, left, right = np.arange(len(buckets)), 1, [], []
-    while True:
-        at = at[at + step < len(buckets)]
-        at = at[buckets[at] == buckets[at + step]]
-        if not len(at):
-            break
-        hit = at[np.bitwise_count(hashes[at] ^ hashes[at + step]) <= BITS_APART]
-        left.append(hit)
-        right.append(hit + step)
-        step += 1
-    out = np.full(len(buckets), -1, np.int64)
-    if not left or not sum(map(len, left)):
-        return out
-    left, right = np.concatenate(left), np.concatenate(right)
-    label = np.arange(len(buckets))
-    while True:
-        least = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, least)
-        np.minimum.at(new, right, least)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    joined = np.concatenate([left, right])
-    out[joined] = label[joined]
-    return out
-
-
-def _near_in_buckets(batches):
-    """Rows (bucket, simhash), in order of bucket, that have a near one, under a bucket for each class of them; a bucket may go over several batches."""
-    left = (np.empty(0, np.int64), np.empty(0, np.uint64))
-
-    def rows(buckets, hashes):
-        of = near_classes(buckets, hashes)
-        near = np.flatnonzero(of >= 0)
-        classes = mix(buckets[near].view(np.uint64) ^ mix(hashes[of[near]])).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(hashes[near].view(np.int64))], names=["bucket", "simhash"])
-
-    for batch in batches:
-        buckets = np.concatenate([left[0], batch.column(0).to_numpy()])
-        hashes = np.concatenate([left[1], batch.column(1).to_numpy().view(np.uint64)])
-        end = int(np.searchsorted(buckets, buckets[-1])) if len(buckets) else 0
-        left = (buckets[end:], hashes[end:])
-        yield rows(buckets[:end], hashes[:end])
-    yield rows(*left)
+    return own.mapInArrow(scan, "id long, line_no int, node binary, own long, norm string")
 
 
-def near_signatures(signatures: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, simhash) so that signatures within three bits of each other share a bucket.
+def _distance(x: str, y: str, most: int) -> int:
+    """Edit distance by bit vectors as long as x, which is no longer than y (Myers 1999); beyond ``most`` any number over it.
 
-    Buckets of up to TOGETHER signatures keep those that have a near one, and
-    are divided into the classes that these make.
-    Larger ones are divided by the blocks that are left; what is larger still
-    passes whole.
+    A path to the end costs no less than the cell of the last diagonal in any
+    column, which ends the search early.
     """
+    if not x:
+        return len(y)
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    every = (1 << len(x)) - 1
+    up, down, less = every, 0, len(x) - len(y)
+    for j, c in enumerate(y, 1):
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | (every & ~(diagonal | up)), up & diagonal
+        right_up = (right_up << 1 | 1) & every
+        down, up = right_up & diagonal, (right_down << 1 & every) | (every & ~(diagonal | right_up))
+        if not j % 16 and j + less > 0:
+            below = (1 << j + less) - 1
+            if (distance := j + (up & below).bit_count() - (down & below).bit_count()) > most:
+                return distance
+    return len(y) + up.bit_count() - down.bit_count()
+
+
+def within(x: str, y: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``; what both have in common at either end is cut first."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) - len(x) > most:
+        return False
+    head = 0
+    while head < len(x) and x[head] == y[head]:
+        head += 1
+    x, y = x[head:], y[head:]
+    tail = 0
+    while tail < len(x) and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if len(y) <= most:
+        return True
+    # Lines that are unlike mostly are so far apart after two edits' worth of characters for each allowed one.
+    part, less = 2 * most + 16, len(x) - len(y)
+    if 2 * part < len(y) + part and part + less > 0 and _distance(x[: part + less], y[:part], most) > most:
+        return False
+    return _distance(x, y, most) <= most
+
+
+class _Table:
+    """Normalised lines, decoded once."""
+
+    def __init__(self, bodies: list[bytes]):
+        self.texts = [b.decode() for b in bodies]
+        self.lengths = np.array([len(t) for t in self.texts])
+
+    def alike(self, rows: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the pairs have the edit similarity."""
+        most = np.floor((1 - similarity) * np.maximum(self.lengths[rows], self.lengths[others]) + 1e-9).astype(np.int64)
+        out = np.abs(self.lengths[rows] - self.lengths[others]) <= most
+        some = np.flatnonzero(out)
+        out[some] = [within(self.texts[x], self.texts[y], m) for x, y, m in zip(rows[some].tolist(), others[some].tolist(), most[some].tolist())]
+        return out
 
-    def first_keys(batches):
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            keys = block_keys(own.view(np.uint64))
-            columns = [keys.ravel(), np.repeat(own, keys.shape[1]), np.tile(np.arange(keys.shape[1], dtype=np.int8), len(own))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "simhash", "choice"])
 
-    def second_keys(batches):
-        for batch in batches:
-            buckets, own, choices = (c.to_numpy() for c in batch.columns)
-            keys = finer_keys(buckets, own.view(np.uint64), choices)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, keys.shape[1]))], names=["bucket", "simhash"])
+def _classes(bodies: list[bytes], bounds: np.ndarray, similarity: float) -> np.ndarray:
+    table, out = _Table(bodies), np.arange(len(bodies))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        joined = Joined(b - a)
+        while (row := joined.next()) is not None:
+            others = np.flatnonzero((joined.label != joined.label[row]) & ~joined.done)
+            joined.add(row, others[table.alike(np.full(len(others), a + row), a + others, similarity)])
+        out[a:b] = a + joined.members()
+    return out
 
-    def shared(members: DataFrame, name: str) -> DataFrame:
-        often = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return scratch.write(members.join(often, "bucket"), name)
 
-    def near(members: DataFrame) -> DataFrame:
-        own = members.where(F.col("n") <= TOGETHER).select("bucket", "simhash")
-        return own.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_near_in_buckets, "bucket long, simhash long")
+def _cross(bodies: list[bytes], bounds: np.ndarray, outside: np.ndarray, comps: np.ndarray, pairs, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    table = _Table(bodies)
+    x, y = (np.concatenate(p) for p in zip(*(pairs(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))))
+    like = table.alike(x, y, similarity)
+    links = np.unique(np.sort(np.stack([comps[x[like]], comps[y[like]]], axis=1), axis=1), axis=0)
+    return links[:, 0], links[:, 1]
 
-    members = shared(signatures.mapInArrow(first_keys, "bucket long, simhash long, choice byte"), "buckets")
-    large = members.where(F.col("n") > TOGETHER).select("bucket", "simhash", "choice")
-    finer = shared(large.mapInArrow(second_keys, "bucket long, simhash long"), "finer")
-    return near(members).unionByName(near(finer)).unionByName(finer.where(F.col("n") > TOGETHER).select("bucket", "simhash"))
 
+def _judge(docs: DataFrame, text: str, row_id: str, similarity: float, least_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(id, line_no, node) of all judged lines, and (node, class, keep, at) of the nodes that are repeated or linked."""
+    text_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "lines")
+    buckets = scratch.write(shared_blocks(docs, text, least_chars), "buckets")
+    judged = scratch.write(judged_lines(docs, text, row_id, least_chars, _map_of(buckets)), "judged")
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no")
+    has_norm = F.col("norm").isNotNull()
+    nodes = judged.groupBy("node").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.max("own").alias("own"), F.max(F.octet_length("norm")).cast("long").alias("size"), F.min(F.when(has_norm, at)).alias("at"))
+    nodes = scratch.write(nodes, "nodes")
+    members = buckets.join(nodes.where("own IS NOT NULL").select("own", "node", "size"), "own").select("bucket", "node", "size")
+
+    def fetch(homes: DataFrame) -> DataFrame:
+        """Of the rows that have a node's text, that with the least id and line, so a line of many documents is one row."""
+        keys = lambda row: (F.coalesce(row("id"), F.lit(0)).alias("_id"), row("line_no").alias("_line"))
+        picked = homes.join(nodes.select("node", *keys(lambda c: F.col(f"at.{c}"))), "node").hint("shuffle_hash")
+        return judged.where(has_norm).select("node", *keys(F.col), F.col("norm").alias("body")).join(picked, ["node", "_id", "_line"]).drop("_id", "_line")
+
+    comp = link_groups(members, fetch, partial(_classes, similarity=similarity), partial(_cross, similarity=similarity), scratch)
+    # A line that occurs once and has no link is kept; the others are looked up.
+    of_node = nodes.select("node", "first", "n").join(comp, "node", "left").where("n > 1 OR comp IS NOT NULL").withColumn("class", F.coalesce("comp", "node"))
+    # Equal rows of ``first`` are repeated rows of one document.
+    of_class = of_node.groupBy("class").agg(F.min(F.struct("first", "node")).alias("least"), F.min("node").alias("name"))
+    by_node = of_node.join(of_class, "class").select("node", F.col("name").alias("class"), (F.col("node") == F.col("least.node")).alias("keep"), F.col("least.first").alias("at"))
+    return judged.select("id", "line_no", "node"), by_node
 
-def _without_ends(batches):
-    """Pairs (a, b, most, x, y) with x and y less the characters they have in common at either end, which leaves their distance."""
-    for batch in batches:
-        cut = []
-        for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            u, v = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (x, y))
-            least = min(len(u), len(v))
-            unlike = np.flatnonzero(u[:least] != v[:least])
-            head = int(unlike[0]) if len(unlike) else least
-            least -= head
-            unlike = np.flatnonzero(u[::-1][:least] != v[::-1][:least])
-            tail = int(unlike[0]) if len(unlike) else least
-            cut.append((x[head : len(x) - tail], y[head : len(y) - tail]))
-        ends = [pa.array([pair[i] for pair in cut], pa.string()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *ends], names=["a", "b", "most", "x", "y"])
-
-
-def _unlike_grams(x: str, y: str) -> int:
-    """Character pairs, folded to 1024 kinds, that one of two texts has more of: an edit makes at most four."""
-    kinds = []
-    for t in (x, y):
-        c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        kinds.append(np.bincount((c[:-1] * np.uint32(31) + c[1:]) & np.uint32(1023), minlength=1024))
-    return int(np.abs(kinds[0] - kinds[1]).sum())
-
-
-def _near_without_ends(batches):
-    """``_without_ends`` of the pairs that may be within ``most`` edits; one function, so that a task has one Python worker."""
-
-    def may_be_near():
-        for batch in batches:
-            some = [_unlike_grams(x, y) <= 4 * most for most, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield batch.filter(pa.array(some, pa.bool_()))
 
-    return _without_ends(may_be_near())
+def _kept():
+    return F.col("keep") & F.col("id").eqNullSafe(F.col("at.id")) & (F.col("line_no") == F.col("at.line_no"))
 
 
-def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS, near: str = "bits") -> DataFrame:
-    """(row_id, line_no, node, class, kept) of every line that is long enough to be judged.
+def fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = 1) -> DataFrame:
+    """(row_id, line_no, node, class, kept) of every line that is judged.
 
-    ``node`` is the MD5 of the normalised line, ``class`` the least node of
-    its connected group.  Of each class the occurrence with the smallest id
-    (nulls last), then the first line, is kept, and of repeated rows one.
-    Lines of fewer than ``least_chars`` normalised characters, so those of null
-    and empty texts, are not judged.  Long lines are taken whole.
-    With ``near="bits"`` lines also need SimHashes within three bits; with
-    ``near="edits"`` edit similarity alone links the lines that meet.
+    Lines are judged if they have ``least_chars`` characters once normalised,
+    by default all that are not empty; those of null and empty texts are not.
+    ``node`` is the MD5 of the normalised line, ``class`` the least node of its
+    connected group.  Of each class the occurrence with the smallest id (nulls
+    last), then the first line, is kept.  Rows that are repeated with the same
+    id are one document: what is kept in one of them is kept in all.  Long
+    lines are taken whole.  An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
-    judged = scratch.write(judged_lines(docs, text, row_id, least_chars, near), "judged")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "line_no"))
-    nodes = scratch.write(judged.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.min("simhash").alias("simhash")), "nodes")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_BATCH_ROWS))
-    if near == "edits":
-        buckets = scratch.write(gram_buckets(judged), "buckets")
-    else:
-        signatures = scratch.write(nodes.groupBy("simhash").agg(F.count(F.lit(1)).alias("n_nodes")), "signatures")
-        # Unlike lines of one signature share a bucket of their own.
-        alike = signatures.where("n_nodes > 1").select(F.xxhash64("simhash").alias("bucket"), "simhash")
-        buckets = near_signatures(signatures.select("simhash"), scratch).unionByName(alike)
-    members = buckets.join(nodes.select("simhash", "node"), "simhash").select("bucket", "node")
-    members = scratch.write(members, "members")
-    text_batches(docs.sparkSession)
-    wanted = members.select("node").distinct()
-    texts = judged.where(F.col("norm").isNotNull()).select("node", "simhash", "norm").join(wanted, "node", "left_semi")
-    texts = scratch.write(texts.dropDuplicates(["node"]), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda end, t: texts.select(F.col("node").alias(end), F.col("simhash").alias(f"h{end}"), F.col("norm").alias(t))
-        apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-        most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
-        close = (F.lit(near == "edits") | (apart <= BITS_APART)) & (F.abs(F.length("x") - F.length("y")) <= most)
-        pairs = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(close).select("a", "b", most.alias("most"), "x", "y")
-        cut = pairs.mapInArrow(_near_without_ends if near == "edits" else _without_ends, "a binary, b binary, most int, x string, y string")
-        # A distance costs time by its bound: most pairs are much nearer than they must be.
-        bounds = (F.expr(f"levenshtein(x, y, cast(most div {part} as int))") >= 0 for part in (16, 4, 1))
-        return cut.where(reduce(or_, bounds, F.greatest(F.length("x"), F.length("y")) <= F.col("most"))).select("a", "b")
-
-    comp = link_groups(members, verify, scratch)
-    # A line that occurs once and has no link is kept; the others are looked up.
-    of_node = nodes.select("node", "first", "n").join(comp, "node", "left").where("n > 1 OR comp IS NOT NULL").withColumn("class", F.coalesce("comp", "node"))
-    keepers = of_node.groupBy("class").agg(F.min_by(F.struct("node", "first"), F.struct("first", "node")).alias("k")).select("class", F.col("k.node").alias("_keep"), F.col("k.first").alias("_at"))
-    by_node = of_node.join(keepers, "class").select("node", "class", (F.col("node") == F.col("_keep")).alias("_first"), "_at")
-    lines = judged.select("id", "line_no", "node").join(by_node, "node", "left")
-    kept = F.col("_first") & F.col("id").eqNullSafe(F.col("_at.id")) & (F.col("line_no") == F.col("_at.line_no"))
-    lines = lines.withColumn("kept", F.when(F.col("class").isNull(), True).otherwise(kept)).withColumn("class", F.coalesce("class", "node"))
-    turn = F.row_number().over(Window.partitionBy("node", "id", "line_no").orderBy(F.lit(1)))
-    return lines.withColumn("kept", F.col("kept") & (turn == 1)).select(F.col("id").alias(row_id), "line_no", "node", "class", "kept")
+    judged, by_node = _judge(docs, text, row_id, similarity, least_chars)
+    lines = judged.join(by_node, "node", "left")
+    lines = lines.withColumn("kept", F.when(F.col("class").isNull(), True).otherwise(_kept())).withColumn("class", F.coalesce("class", "node"))
+    return lines.select(F.col("id").alias(row_id), "line_no", "node", "class", "kept")
 
 
-def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS, near: str = "bits") -> DataFrame:
-    """``docs`` with the lines that ``fuzzy_lines`` does not keep cut from the text.
+def _dropped(judged: DataFrame, by_node: DataFrame) -> DataFrame:
+    """(__t_id, __t_drop): the numbers of the lines that go, of the ids that have any."""
+    return judged.join(by_node, "node").where(~_kept()).groupBy(F.col("id").alias("__t_id")).agg(F.array_sort(F.collect_set("line_no")).alias("__t_drop"))
 
-    Repeated rows with the same id lose a line if any of them does.
-    """
-    scratch = Scratch(docs.sparkSession, "lines")
-    judged = fuzzy_lines(docs, text, row_id, similarity, least_chars, near).where(~F.col("kept"))
-    dropped = scratch.write(judged.groupBy(F.col(row_id).alias("__t_id")).agg(F.collect_set("line_no").alias("__t_drop")), "dropped")
+
+def drop_fuzzy_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY, least_chars: int = 1) -> DataFrame:
+    """``docs`` with the lines that ``fuzzy_lines`` does not keep cut from the text; null texts stay null, and columns of any name as they were."""
+    dropped = Scratch(docs.sparkSession, "lines").write(_dropped(*_judge(docs, text, row_id, similarity, least_chars)), "dropped")
     joined = docs.join(dropped, F.col(row_id).cast("long").eqNullSafe(F.col("__t_id")), "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__t_drop", i))
     return joined.withColumn(text, F.when(F.col("__t_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__t_id", "__t_drop")
 
 
 def line_digest(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """For each id: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined; all lines that are not empty once normalised are judged, by edit similarity alone."""
+    """For each row: n_lines, n_judged, n_dropped and the numbers of the dropped lines, comma-joined.
+
+    All lines that are not empty once normalised are judged.  A null text is
+    one empty line; rows repeated with the same id have n_judged of all of
+    them; of null ids, too.  An empty table gives an empty result.
+    """
     totals = docs.select(F.col(row_id).cast("long").alias(row_id), (F.coalesce(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))), F.lit(0)) + 1).cast("long").alias("n_lines"))
-    judged = fuzzy_lines(docs, text, row_id, least_chars=1, near="edits").groupBy(F.col(row_id).alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("__t_drop"))
-    joined = totals.join(judged, totals[row_id].eqNullSafe(judged["__t_id"]), "left")
-    return joined.select(row_id, "n_lines", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), F.coalesce(F.size("__t_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("__t_drop", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped_lines"))
+    judged, by_node = _judge(docs, text, row_id, SIMILARITY, 1)
+    counts = judged.groupBy(F.col("id").alias("__t_id")).agg(F.count(F.lit(1)).alias("n_judged"))
+    found = counts.join(_dropped(judged, by_node).select(F.col("__t_id").alias("__t_of"), "__t_drop"), F.col("__t_id").eqNullSafe(F.col("__t_of")), "left")
+    joined = totals.join(found, totals[row_id].eqNullSafe(found["__t_id"]), "left")
+    numbers = F.array_join(F.transform("__t_drop", lambda x: x.cast("string")), ",")
+    return joined.select(row_id, "n_lines", F.coalesce("n_judged", F.lit(0)).alias("n_judged"), F.coalesce(F.size("__t_drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(numbers, F.lit("")).alias("dropped_lines"))

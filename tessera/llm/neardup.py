@@ -6,11 +6,10 @@ level) such that two documents agree with the probability of their weighted
 Jaccard similarity.  Samples are banded; documents that agree in a band are
 candidates, whose weighted Jaccard similarity is then computed exactly.
 
-Document frequencies count all documents, copies included.  The inverse is
-ln(1 + 1 / max(frequency, FLOOR)) of the share of documents: shingles of less
-than a hundredth of the documents all count as rare.  So exact counts are
-needed of the frequent ones only, of which there are at most
-(shingles per document) / FLOOR, whatever the size of the corpus.
+Document frequencies count all documents, copies included.  A shingle that is
+in less than the share FLOOR of all (document, shingle) pairs counts as of that
+share.  So exact counts are needed of the frequent shingles only, of which
+there are at most 1 / FLOOR, whatever the corpus and however long its documents.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import link_groups
+from .graph import Joined, link_groups
 from .scratch import Scratch, text_batches
 from .words import Words, byte_groups, mix, shingles
 
@@ -31,13 +30,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 16 bands of 4 samples: a pair of similarity 0.8 shares none with probability 0.0002.
 BANDS, ROWS = 16, 4
-#: Shingles of a smaller share of documents count as of this.
-FLOOR = 0.01
-#: Frequent shingles that may be broadcast; the floor rises where documents are so long that more could pass it.
-FREQUENT = 4_000_000
-#: Documents whose shingles are counted together before the frequent ones are passed on.
-_BLOCK_DOCS = 4000
-_BLOCK_BYTES = 12 << 20
+#: Shingles of a smaller share of all (document, shingle) pairs count as of this.
+FLOOR = 2**-16
+#: Pairs that a task counts together at least, if it has as many, before the frequent shingles are passed on.
+_BLOCK_PAIRS = 1 << 22
+#: Small partitions of which one task counts the pairs, as long as there is a task for each core.
+_PARTS_TOGETHER = 32
 _SLICE = 2 << 20
 _BITS = 12
 
@@ -60,49 +58,51 @@ def _texts(batches, column: int):
             yield texts[part]
 
 
-def frequent_shingles(docs: DataFrame, text: str, scratch: Scratch, floor: float = FLOOR, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """Shingles in a share of at least ``floor`` of all documents, their exact counts, the number of documents, and the floor.
+def frequent_shingles(docs: DataFrame, text: str, scratch: Scratch, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Shingles in over ``floor`` of all (document, shingle) pairs, their document frequencies, the number of documents, and the frequency that is the floor.
 
-    A first pass reports, for each block of documents, the shingles in at least
-    a quarter of the floor's share of the block.  What is not reported adds up
-    to less than a quarter, so every frequent shingle has reports of three
-    quarters; those are counted exactly in a second pass.
+    A first pass reports, for each block of pairs, the shingles that have at
+    least a quarter of the floor's share of the block.  What is not reported
+    adds up to less than a quarter, so every frequent shingle has reports of
+    three quarters: 4 / (3 * floor) shingles at most, which are counted exactly
+    in a second pass.
     """
     own = docs.select(F.col(text).alias("t"))
+    n_tasks = max(docs.sparkSession.sparkContext.defaultParallelism, own.rdd.getNumPartitions() // _PARTS_TOGETHER)
 
     def report(batches):
-        held, docs_held, size = [], 0, 0
+        held, docs_held, pairs = [], 0, 0
 
-        def flush():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(1, math.ceil(floor / 4 * docs_held))
+        def flush(n_parts):
+            parts = held[:n_parts]
+            del held[:n_parts]
+            found, n = np.unique(np.concatenate([p for _, p in parts]), return_counts=True)
+            often = n >= max(1, math.ceil(floor / 4 * n.sum()))
             names = [0, 1, *found[often].view(np.int64).tolist()]
             kinds = [1, 2, *([0] * int(often.sum()))]
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.int64()), pa.array([docs_held, int(n.sum()), *n[often].tolist()], pa.int64())], names=["kind", "shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.int64()), pa.array([sum(d for d, _ in parts), int(n.sum()), *n[often].tolist()], pa.int64())], names=["kind", "shingle", "n"])
 
         for texts in _texts(batches, 0):
             _, found, _ = distinct_shingles(texts)
-            held.append(found)
-            docs_held += len(texts)
-            size += found.nbytes
-            if docs_held >= _BLOCK_DOCS or size >= 8 * _BLOCK_BYTES:
-                yield flush()
-                held, docs_held, size = [], 0, 0
+            held.append((len(texts), found))
+            pairs += len(found)
+            # What is left over is at least a block, too.
+            if pairs >= 2 * _BLOCK_PAIRS:
+                sizes = np.cumsum([len(p) for _, p in held])
+                n_parts = int(np.searchsorted(sizes, _BLOCK_PAIRS)) + 1
+                pairs -= int(sizes[n_parts - 1])
+                yield flush(n_parts)
         if held:
-            yield flush()
+            yield flush(len(held))
 
-    reports = scratch.write(own.mapInArrow(report, "kind int, shingle long, n long").groupBy("kind", "shingle").agg(F.sum("n").alias("n")), "reports")
+    reports = scratch.write(own.coalesce(n_tasks).mapInArrow(report, "kind int, shingle long, n long").groupBy("kind", "shingle").agg(F.sum("n").alias("n")), "reports")
     totals = {r["kind"]: r["n"] for r in reports.where("kind > 0").collect()}
-    n_docs, n_shingles = totals.get(1, 0), totals.get(2, 0)
-    none = np.empty(0, np.uint64), np.empty(0, np.int64), n_docs, floor
-    if not n_shingles:
-        return none
-    floor = max(floor, n_shingles / n_docs / (0.75 * most))
-    # At most n_shingles / (0.75 * floor * n_docs) of them, which is no more than ``most``.
-    likely = reports.where((F.col("kind") == 0) & (F.col("n") >= 0.75 * floor * n_docs)).select("shingle")
-    likely = np.sort(np.array([r[0] for r in likely.collect()], np.int64).view(np.uint64))
+    n_docs, least = totals.get(1, 0), floor * totals.get(2, 0)
+    none = np.empty(0, np.uint64), np.empty(0, np.int64), n_docs, least
+    likely = reports.where((F.col("kind") == 0) & (F.col("n") >= 0.75 * least)).select("shingle")
+    likely = np.sort(likely.toArrow().column(0).to_numpy().view(np.uint64))
     if not len(likely):
-        return (*none[:3], floor)
+        return none
     shared = docs.sparkSession.sparkContext.broadcast(likely)
 
     def count(batches):
@@ -116,20 +116,19 @@ def frequent_shingles(docs: DataFrame, text: str, scratch: Scratch, floor: float
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["shingle", "n"])
 
-    exact = own.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > floor * n_docs).collect()
-    found = np.array([r[0] for r in exact], np.int64).view(np.uint64)
-    counts = np.array([r[1] for r in exact], np.int64)
+    exact = own.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least).toArrow()
+    found, counts = exact.column(0).to_numpy().view(np.uint64), exact.column(1).to_numpy()
     order = np.argsort(found)
-    return found[order], counts[order], n_docs, floor
+    return found[order], counts[order], n_docs, least
 
 
 class Weights:
-    """TF-IDF weights of shingles."""
+    """TF-IDF weights of shingles; those not in ``found`` have the frequency ``least``, and 1 if that is less."""
 
-    def __init__(self, found: np.ndarray, counts: np.ndarray, n_docs: int, floor: float):
+    def __init__(self, found: np.ndarray, counts: np.ndarray, n_docs: int, least: float):
         self.found = found
         self.idf = np.log1p(n_docs / np.maximum(counts, 1)).astype(np.float32)
-        self.rare = np.float32(math.log1p(1 / floor))
+        self.rare = np.float32(math.log1p(n_docs / max(least, 1)))
 
     def __call__(self, names: np.ndarray, times: np.ndarray) -> np.ndarray:
         out = np.full(len(names), self.rare, np.float32)
@@ -213,30 +212,56 @@ def similarities(weights: Weights, xs: list[bytes], ys: list[bytes]) -> np.ndarr
     return np.where(whole > 0, common / np.maximum(whole, 1e-300), 0.0)
 
 
-def _block_links(table: pa.Table, weights: Weights, similarity: float) -> pa.Table:
-    """Links between the outside nodes of a block and its other nodes in other components."""
-    nodes, comps = table.column("node").to_pylist(), table.column("comp").to_pylist()
-    out = np.array(table.column("outside").to_pylist(), bool)
-    n = len(nodes)
-    owner, names, times = distinct_shingles(table.column("_text").cast(pa.binary()).to_pylist())
-    w = weights(names, times).astype(np.float64)
-    total, bounds = np.bincount(owner, w, n), np.searchsorted(owner, np.arange(n + 1))
-    rest = ~out[owner]
-    r_owner, r_names, r_w = owner[rest], names[rest], w[rest]
-    found: set[tuple[bytes, bytes]] = set()
-    for x in np.flatnonzero(out):
-        own, own_w = names[bounds[x] : bounds[x + 1]], w[bounds[x] : bounds[x + 1]]
-        if not len(own):
-            continue
-        at = np.searchsorted(own, r_names)
-        at[at == len(own)] = 0
-        hit = own[at] == r_names
-        common = np.bincount(r_owner[hit], np.minimum(own_w[at[hit]], r_w[hit]), n)
-        for y in np.flatnonzero(common >= similarity * (total[x] + total - common)):
-            if common[y] > 0 and comps[y] != comps[x]:
-                found.add((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-    a, b = zip(*found) if found else ((), ())
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+class _Table:
+    """Shingles of the bodies of some groups, each group's in order of shingle to look up by."""
+
+    def __init__(self, bodies: list[bytes], weights: Weights):
+        n = len(bodies)
+        self.owner, self.names, times = distinct_shingles(bodies)
+        self.w = weights(self.names, times).astype(np.float64)
+        self.total = np.bincount(self.owner, self.w, n)
+        self.bounds = np.searchsorted(self.owner, np.arange(n + 1))
+
+    def index(self, a: int, b: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, body less a, weight) of bodies a to b (those of ``of``), in order of shingle."""
+        at = np.arange(self.bounds[a], self.bounds[b])
+        if of is not None:
+            at = at[of[self.owner[at] - a]]
+        at = at[np.argsort(self.names[at], kind="stable")]
+        return self.names[at], self.owner[at] - a, self.w[at]
+
+    def alike(self, row: int, a: int, b: int, index: tuple, similarity: float) -> np.ndarray:
+        """Which of bodies a to b, as numbers from a, have the similarity to ``row``."""
+        own = slice(self.bounds[row], self.bounds[row + 1])
+        names, owner, w = index
+        low, high = np.searchsorted(names, self.names[own], "left"), np.searchsorted(names, self.names[own], "right")
+        times = high - low
+        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        common = np.bincount(owner[at], np.minimum(np.repeat(self.w[own], times), w[at]), b - a)
+        return np.flatnonzero((common > 0) & (common >= similarity * (self.total[row] + self.total[a:b] - common)))
+
+
+def _classes(bodies: list[bytes], bounds: np.ndarray, weights: Weights, similarity: float) -> np.ndarray:
+    table, out = _Table(bodies, weights), np.arange(len(bodies))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a > 1:
+            joined, index = Joined(b - a), table.index(a, b)
+            while (row := joined.next()) is not None:
+                joined.add(row, table.alike(a + row, a, b, index, similarity))
+            out[a:b] = a + joined.members()
+    return out
+
+
+def _cross(bodies: list[bytes], bounds: np.ndarray, outside: np.ndarray, comps: np.ndarray, pairs, weights: Weights, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    # One look-up of a row's shingles compares it with the whole block, which costs less than to leave out pairs.
+    table, found = _Table(bodies, weights), set()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        index, own = table.index(a, b, ~outside[a:b]), comps[a:b]
+        for row in np.flatnonzero(outside[a:b]):
+            like = np.unique(own[table.alike(a + row, a, b, index, similarity)])
+            found.update((min(own[row], c), max(own[row], c)) for c in like[like != own[row]].tolist())
+    links = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return links[:, 0], links[:, 1]
 
 
 def _node():
@@ -272,56 +297,38 @@ def near_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sim
                 keys = bands(samples(owner, names, weights(names, times), n, BANDS * ROWS))
                 some = np.bincount(owner, minlength=n) > 0
                 out += [row if has else [] for row, has in zip(keys.tolist(), some)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["id", "node", "bands"])
+            size = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(out, pa.list_(pa.int64()))], names=["id", "node", "size", "bands"])
 
-    signed = scratch.write(own.select("id", "node", "_text").mapInArrow(sign, "id long, node binary, bands array<long>"), "signed")
+    signed = scratch.write(own.select("id", "node", "_text").mapInArrow(sign, "id long, node binary, size long, bands array<long>"), "signed")
     # Equal texts are one node, whose least id stands for them.
-    nodes = signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = scratch.write(nodes, "nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    often = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    wanted = members.join(often, "bucket", "left_semi").select("node").distinct()
-    # Texts of the candidates: one exchange of the texts, by which later joins find them.
-    picked = nodes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("_id"))
-    found = own.select("id", "node", "_text").join(picked, (own["node"] == picked["node"]) & own["id"].eqNullSafe(picked["_id"]))
-    texts = scratch.write(found.select(own["node"], "_text").dropDuplicates(["node"]), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("_text").alias("x"))
-        b = texts.select(F.col("node").alias("b"), F.col("_text").alias("y"))
-
-        def compare(batches):
-            weights = shared.value
-            for batch in batches:
-                xs, ys = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-                kept = []
-                for part in byte_groups([len(x) + len(y) for x, y in zip(xs, ys)], _SLICE):
-                    kept.append(similarities(weights, xs[part], ys[part]) >= similarity)
-                at = pa.array(np.flatnonzero(np.concatenate(kept))) if kept else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (0, 1)], names=["a", "b"])
-
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
-
-    def cross(blocks: DataFrame) -> DataFrame:
-        def compare(table: pa.Table) -> pa.Table:
-            return _block_links(table, shared.value, similarity)
-
-        return blocks.join(texts, "node").select("bucket", "i", "j", "outside", "node", "comp", "_text").groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
-
-    comp = scratch.write(link_groups(members.select("bucket", "node"), verify, scratch, cross), "classes")
-    scratch.drop(texts)
+    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+
+    def fetch(homes: DataFrame) -> DataFrame:
+        """Any row of a node has its text; of an often repeated one, only that with the least id is taken."""
+        key = F.coalesce("id", F.lit(0)).alias("_key")
+        picked = homes.join(nodes.select("node", key), "node").hint("shuffle_hash")
+        return own.select("node", key, F.col("_text").alias("body")).join(picked, ["node", "_key"]).drop("_key")
+
+    classes = lambda bodies, bounds: _classes(bodies, bounds, shared.value, similarity)
+    cross = lambda bodies, bounds, outside, comps, pairs: _cross(bodies, bounds, outside, comps, pairs, shared.value, similarity)
+    comp = link_groups(members, fetch, classes, cross, scratch)
     of_node = nodes.select("node", "id", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = of_node.groupBy("comp").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("_keep"), F.min("id").alias("class_id"), F.sum("n").alias("group_size"))
-    by_node = of_node.join(classes, "comp").select("node", F.col("id").alias("_least"), "class_id", "group_size", (F.col("node") == F.col("_keep")).alias("_first"))
-    rows = signed.select("id", "node").join(by_node, "node")
+    of_class = of_node.groupBy("comp").agg(F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("_keep"), F.min("id").alias("class_id"), F.sum("n").alias("group_size"))
+    by_node = of_node.join(of_class, "comp").select("node", F.col("id").alias("_least"), "class_id", "group_size", (F.col("node") == F.col("_keep")).alias("_first"))
+    # Repeated rows are counted, so that a text that many documents share is not one task's.
+    rows = signed.groupBy("id", "node").agg(F.count(F.lit(1)).cast("int").alias("_n")).join(by_node, "node")
     kept = F.col("_first") & F.col("id").eqNullSafe(F.col("_least"))
-    turn = F.row_number().over(Window.partitionBy("node", "id").orderBy(F.lit(1)))
-    return rows.withColumn("kept", kept).withColumn("_turn", turn).select(F.col("id").alias(row_id), "node", "class_id", "group_size", (F.col("kept") & (F.col("_turn") == 1)).alias("kept"))
+    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return rows.select(F.col("id").alias(row_id), "node", "class_id", "group_size", (kept & (F.col("_turn") == 1)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """The kept row of each class of ``near_groups``, all columns as they were."""
-    keep = near_groups(docs, text, row_id, similarity).where("kept").select(F.col(row_id).alias("__t_keep_id"), F.col("node").alias("__t_keep_node"))
-    own_node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    joined = docs.withColumn("__t_own_node", own_node).join(keep, F.col("__t_own_node").eqNullSafe(F.col("__t_keep_node")) & F.col(row_id).cast("long").eqNullSafe(F.col("__t_keep_id")))
-    return joined.dropDuplicates(["__t_keep_id", "__t_keep_node"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The kept row of each class of ``near_groups``, all columns as they were; what that says of nulls, ties and repeated rows holds."""
+    keys = lambda id_, node: (node.alias("__t_node"), id_.isNull().alias("__t_null"), F.coalesce(id_, F.lit(0)).alias("__t_id"))
+    keep = near_groups(docs, text, row_id, similarity).where("kept").select(*keys(F.col(row_id), F.col("node")))
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys(F.col(row_id).cast("long"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    names = ["__t_node", "__t_null", "__t_id"]
+    return own.join(keep, names).dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
