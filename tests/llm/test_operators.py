@@ -170,6 +170,38 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_rates_solve_the_dual(spark):
+    """Against Newton steps on the whole system at once."""
+    rng = random.Random(51)
+    spread = {"a": [3, 40, 100, 150], "b": [9, 45, 100, 900, 1000], "c": [2, 2000], None: [5, 12, 50, 70, 110, 990]}
+    stats = [(s, size, rng.randrange(1, 40)) for s, sizes in spread.items() for size in sizes]
+    total = {s: sum(size * n for q, size, n in stats if q == s) for s in spread}
+    target = {"a": 1.7 * total["a"], "b": 0.6 * total["b"], "c": 2.0 * total["c"], None: 1.1 * total[None]}
+    rates, tilt = mixing.solve_rates(spark.createDataFrame(stats, "source string, size long, n long"), spark.createDataFrame([(s, total[s], target[s]) for s in spread], "source string, source_size long, target double"), Scratch(spark, "test"))
+    got = {(r["source"], r["class"]): r["rate"] for r in rates.collect()}
+    words_of = Counter()
+    for s, size, n in stats:
+        words_of[s, size.bit_length() - 1] += size * n
+    cells = [k for k in words_of if k[0] != "c"]
+    names, classes = ["a", "b", None], sorted({c for _, c in cells})
+    goal = np.array([sum(v for k, v in words_of.items() if k[1] == c) for c in classes], float)
+    goal *= sum(target[s] for s in names) / goal.sum()
+    x, w = np.zeros(len(names) + len(classes)), np.array([words_of[k] for k in cells], float)
+    rows = np.zeros((len(cells), len(x)))
+    for i, (s, c) in enumerate(cells):
+        rows[i, names.index(s)] = rows[i, len(names) + classes.index(c)] = 1
+    ridge = np.append(np.zeros(len(names)), mixing.RIDGE * goal)
+    for _ in range(300):
+        r = 2 / (1 + np.exp(-rows @ x))
+        slope = rows.T @ (rows * (w * r * (1 - r / 2))[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(slope, np.append([target[s] for s in names], goal) - rows.T @ (w * r) - ridge * x)
+        x += step * min(1, 1 / np.abs(step).max())
+    assert np.abs(step).max() < 1e-9 and max(map(abs, tilt.values())) > 0.1
+    assert set(got) == set(words_of) and all(abs(got[k] - v) < 1e-6 for k, v in zip(cells, 2 / (1 + np.exp(-rows @ x)))) and {got[k] for k in got if k[0] == "c"} == {2.0}
+    for s in names:
+        assert abs(sum(words_of[k] * got[k] for k in cells if k[0] == s) - target[s]) < 1e-6 * target[s]
+
+
 # 5
 
 
