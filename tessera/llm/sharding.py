@@ -14,6 +14,7 @@ node, so all tasks agree and a rerun of a lost task draws the same numbers.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import extended, text_batches
+from .scratch import Scratch, extended, text_batches
 
 #: Rows of a cell, which one task orders.
 CELL_ROWS = 1_000_000
@@ -75,18 +76,27 @@ def even_sizes(total: int, parts: int) -> np.ndarray:
     return np.full(parts, total // parts, np.int64) + (np.arange(parts) < total % parts)
 
 
+def _plain_read(df: DataFrame) -> bool:
+    """Whether the plan but reads files or makes rows, so that each reading has the same rows in the same partitions."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return set(re.findall(r"^[\s:+-]*([A-Z]\w*)", plan, re.M)) <= {"Project", "Filter", "Relation", "Range", "LocalRelation"}
+
+
 def shuffle_to_shards(df: DataFrame, n_shards: int, seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Every row of ``df`` with ``shard`` and ``slot``: a uniform shuffle into shards at most one row apart.
 
     Columns of any name and content are carried along; columns called shard or
     slot are replaced.  Nulls, repeated rows and long texts are rows as any
-    others.  An empty table gives an empty result.  ``df`` has to give the same
-    rows in the same partitions when read again (files do); a difference in
-    numbers stops the job.
+    others.  An empty table gives an empty result.  Rows are counted by partition
+    and then dealt from the same partitions: a plain read of files is read
+    twice, anything else is written first.  A difference in numbers stops the
+    job.
     """
     spark = df.sparkSession
     text_batches(spark)
     df = df.drop("shard", "slot")
+    if not _plain_read(df):
+        df = Scratch(spark, "shards").write(df, "rows")
     # One number for each input partition, as many as the driver has tasks to schedule.
     found = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     counts = np.zeros(max((r["p"] for r in found), default=0) + 1, np.int64)
@@ -120,7 +130,6 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, seed: int = 0, cell_rows: in
         if dealt is not None and done != len(dealt):
             raise RuntimeError("the input has fewer rows than when it was counted")
 
-    starts = F.lit(0).cast("long")
     shard = F.expr(f"cast(__t_cell div {per_shard} as int)")
     # The cells of a shard are even: the first ``size mod per_shard`` have one row more.
     size = F.lit(total // n_shards).cast("long") + F.when(shard < F.lit(total % n_shards), 1).otherwise(0)

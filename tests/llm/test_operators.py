@@ -56,6 +56,17 @@ def test_sharding(spark, odd, none):
     assert sharding.shuffle_to_shards(none, 4).count() == 0
 
 
+def test_sharding_after_a_shuffle(spark, tmp_path):
+    """Adaptive execution may cut the partitions of a narrow and of a wide reading of one plan unlike each other."""
+    spark.range(0, 9000, 1, 3).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 50).alias("text")).write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    assert sharding._plain_read(files.select("doc_id").where("doc_id > 5")) and not sharding._plain_read(files.repartition(5))
+    out = sharding.shuffle_to_shards(files.groupBy("doc_id").agg(F.first("text").alias("text")), 40).collect()
+    sizes = Counter(r["shard"] for r in out)
+    assert sorted(r["doc_id"] for r in out) == list(range(9000)) and set(sizes.values()) == {225}
+    assert {(r["shard"], r["slot"]) for r in out} == {(s, i) for s in range(40) for i in range(225)}
+
+
 def test_communication_matrix():
     prefix, cells = np.array([0, 100, 100, 250, 400]), np.array([150, 100, 150])
     rows = [sharding.partition_row(prefix, cells, p, 1) for p in range(4)]
