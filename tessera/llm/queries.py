@@ -23,8 +23,8 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
     out = tokens.write_training_order(_table(spark, sf_dir, "documents"), f"{scratch.path}/shards", scratch=scratch)
-    offset = (F.col("slot") % tokens.STRIDE) * (2 * tokens.SEQUENCE)
-    return out.select("doc_id", "seq_no", "n_tokens", "slot", "shard", offset.alias("byte_offset"), F.sha2("ids", 256).alias("ids_sha256"))
+    row = (F.col("slot") % tokens.STRIDE).cast("int")
+    return out.select("doc_id", "seq_no", "n_tokens", "slot", "shard", row.alias("row_in_shard"), F.sha2("ids", 256).alias("ids_sha256"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

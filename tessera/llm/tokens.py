@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, text_batches
 
 SEQUENCE = 512
-STRIDE = 8192
+STRIDE = 1 << 16
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Words whose ids a Python worker remembers.
 _KNOWN_WORDS = 1_000_000
@@ -124,7 +124,11 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = SEQUENCE, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, seq_no, n_tokens, ids (without padding), and the sequence's place: partition and number in it."""
+    """doc_id, seq_no, n_tokens, ids (without padding), and the sequence's place: partition and number in it.
+
+    A null or empty text is one sequence of the end mark; a null id stays null;
+    repeated rows give sequences each; an empty table gives none.
+    """
     text_batches(docs.sparkSession)
     names = ["doc_id", "seq_no", "n_tokens", "ids", "_part", "_at"]
     width = 2 * length
@@ -186,9 +190,10 @@ def write_training_order(docs: DataFrame, path: str, text: str = "text", row_id:
     shards = max(1, -(-n // stride))
     slots = staged.select("doc_id", "seq_no", "n_tokens", "ids", slot_of("_part", "_at").alias("slot")).withColumn("shard", F.expr(f"cast(slot div {stride} as int)"))
     (
-        slots.repartitionByRange(shards, "shard")
+        # A slot tells its shard, so ranges need no sampling; a shard is one task's and one file.
+        slots.repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "slot")
-        # Each record is 2 * length bytes, so a slot's bytes are at (slot mod stride) * 2 * length of its shard's column.
+        # Each record is 2 * length bytes, and slot s is row s mod stride of its shard.
         .withColumn("ids", F.rpad("ids", 2 * length, F.lit(_end_bytes(vocabulary))))
         .write.option("compression", "zstd")
         .partitionBy("shard")
@@ -208,7 +213,10 @@ SHARD_SCHEMA = "doc_id long, seq_no int, n_tokens int, ids binary, slot long, sh
 
 
 def read_slots(spark: SparkSession, path: str, start: int = 0, end: int | None = None, stride: int = STRIDE) -> DataFrame:
-    """Sequences of slots start to end; only their shards are opened, and only the row groups that hold the slots."""
+    """Sequences of slots start to end; only their shards are opened, and only the row groups that hold the slots.
+
+    Slots beyond the last give no rows; a folder without shards an empty result.
+    """
     out = spark.read.schema(SHARD_SCHEMA).parquet(path)
     if start:
         out = out.where((F.col("shard") >= start // stride) & (F.col("slot") >= start))
