@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
-The fixed patterns find seeds.  The words around seeds are lexical patterns; a
-looser shape finds candidates, which share instances and patterns with the
-seeds in a graph.  Scores pass to and fro: a pattern is as good as the
-instances it surrounds, an instance as its patterns together.  Candidates that
-patterns of high confidence surround are added to the spans.
+The fixed patterns find seeds.  The words around seeds are lexical patterns:
+one on either side, two before, or two after.  A looser shape finds candidates,
+which share instances and patterns with the seeds in a graph.  Scores pass to
+and fro until they rest: a pattern is as good as all that it surrounds, seeds
+of other kinds counting against it; an instance as its patterns together.
+Confident instances induce further patterns, until none are new.  Candidates
+that patterns of high confidence surround are added to the spans.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 CONFIDENCE = 0.8
 #: A pattern needs so many different seeds of its kind.
 SUPPORT = 3
-ROUNDS = 3
+#: Scores rest when none changes by more; rounds of scores and of new patterns at most.
+TOLERANCE = 0.005
+ROUNDS, INDUCTIONS = 40, 5
 
 # The base patterns.  Possessive quantifiers and the look-behinds
 # only spare vain attempts; matches are those of the plain patterns.
@@ -38,8 +42,6 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 # Candidates: digits in groups, and addresses that spell out the at.
 _LOOSE = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])|[A-Za-z0-9._%+-]{1,64}\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]+)+")
-_WORD_BEFORE = re.compile(r"(\S+)\s*\Z")
-_WORD_AFTER = re.compile(r"\s*(\S+)")
 _AROUND = 60
 
 
@@ -86,14 +88,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def context(text: str, start: int, end: int) -> str | None:
-    """The words before and after, lower-cased, digits as 0: a lexical pattern."""
-    before = _WORD_BEFORE.search(text[max(0, start - _AROUND) : start])
-    after = _WORD_AFTER.match(text[end : end + _AROUND])
-    if not before:
-        return None
-    plain = lambda m: re.sub(r"[0-9]", "0", m[1].lower()) if m else ""
-    return f"{plain(before)} _ {plain(after)}"
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """Lexical patterns around a find, lower-cased, digits as 0: those that have a letter."""
+    plain = lambda words: [re.sub(r"[0-9]", "0", w.lower()) for w in words]
+    before, after = plain(text[max(0, start - _AROUND) : start].split()[-2:]), plain(text[end : end + _AROUND].split()[:2])
+    out = []
+    if before and after:
+        out.append(f"{before[-1]} _ {after[0]}")
+    if len(before) == 2:
+        out.append(f"{before[0]} {before[1]} _")
+    if len(after) == 2:
+        out.append(f"_ {after[0]} {after[1]}")
+    return [c for c in out if any(x.isalpha() for x in c)]
 
 
 def _merged(spans) -> tuple[list[int], list[int]]:
@@ -112,7 +118,7 @@ def digest(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Every row of ``docs`` with base (spans of the fixed patterns) and added spans.
 
     Both are arrays of (kind, start, end) in code points, end exclusive, by
@@ -127,10 +133,10 @@ def find_personal_data(docs: DataFrame, text: str = "text", confidence: float =
     docs = docs.drop("base", "added")
     scratch = Scratch(spark, "personal")
     span = pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
-    seed = pa.struct([("kind", pa.string()), ("ctx", pa.string()), ("value", pa.string())])
-    loose = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("ctx", pa.string()), ("value", pa.string())])
+    seed = pa.struct([("kind", pa.string()), ("ctx", pa.list_(pa.string())), ("value", pa.string())])
+    loose = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("ctx", pa.list_(pa.string())), ("value", pa.string())])
     rest = [f for f in docs.schema.fields if f.name != text]
-    schema = extended(StructType(rest), "base array<struct<kind:string,a:long,b:long>>, __t_seeds array<struct<kind:string,ctx:string,value:string>>, __t_loose array<struct<a:long,b:long,ctx:string,value:string>>")
+    schema = extended(StructType(rest), "base array<struct<kind:string,a:long,b:long>>, __t_seeds array<struct<kind:string,ctx:array<string>,value:string>>, __t_loose array<struct<a:long,b:long,ctx:array<string>,value:string>>")
     source = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("__t_text"))
 
     def scan(batches):
@@ -139,13 +145,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", confidence: float =
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 t = t or ""
                 base = base_spans(t)
-                seeds = [{"kind": k, "ctx": c, "value": _value(t[a:b])} for k, a, b in base if (c := context(t, a, b))]
+                seeds = [{"kind": k, "ctx": c, "value": _value(t[a:b])} for k, a, b in base if (c := contexts(t, a, b))]
                 found = []
                 starts, ends = _merged(base)
                 for m in _LOOSE.finditer(t):
                     a, b = m.span()
                     i = bisect(starts, b - 1)
-                    if not (i and ends[i - 1] > a) and (c := context(t, a, b)):
+                    if not (i and ends[i - 1] > a) and (c := contexts(t, a, b)):
                         found.append({"a": a, "b": b, "ctx": c, "value": _value(m[0])})
                 for column, rows in zip(every, ([{"kind": k, "a": a, "b": b} for k, a, b in base], seeds, found)):
                     column.append(rows)
@@ -153,8 +159,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", confidence: float =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*[f.name for f in rest], "base", "__t_seeds", "__t_loose"])
 
     scanned = scratch.write(source.mapInArrow(scan, schema).withColumn("__t_row", F.expr("uuid()")), "scanned")
-    good = _good_candidates(scanned, scratch, confidence, support, rounds)
-    found = scanned.select("__t_row", F.explode("__t_loose").alias("c")).select("__t_row", "c.*")
+    good = _good_candidates(scanned, scratch, confidence, support)
+    found = scanned.select("__t_row", F.explode("__t_loose").alias("c")).select("__t_row", "c.a", "c.b", "c.value", F.explode("c.ctx").alias("ctx"))
     added = (
         found.join(good, ["ctx", "value"])
         .groupBy("__t_row")
@@ -170,29 +176,50 @@ def _value(found: str) -> str:
     return re.sub(r"[^A-Za-z0-9]", "", found).lower()
 
 
-def _good_candidates(scanned: DataFrame, scratch: Scratch, confidence: float, support: int, rounds: int) -> DataFrame:
+def _good_candidates(scanned: DataFrame, scratch: Scratch, confidence: float, support: int) -> DataFrame:
     """(ctx, value, kind) of candidates that patterns of high confidence surround."""
-    seeds = scanned.select(F.explode("__t_seeds").alias("s")).select("s.kind", "s.ctx", "s.value").distinct()
-    seeds = scratch.write(seeds, "seeds")
-    # Patterns with enough different seeds, whatever the number of their copies.
-    patterns = seeds.groupBy("kind", "ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).drop("n")
-    # Joining from the distinct candidates keeps a very common context to its different values.
-    loose = scanned.select(F.explode("__t_loose").alias("c")).select("c.ctx", "c.value").distinct()
-    loose = scratch.write(loose.join(patterns, "ctx").select("kind", "ctx", "value"), "candidates")
-    edges = seeds.join(patterns, ["kind", "ctx"], "left_semi").withColumn("seed", F.lit(True)).unionByName(loose.withColumn("seed", F.lit(False)))
-    edges = scratch.write(edges.groupBy("kind", "ctx", "value").agg(F.max("seed").alias("seed")), "edges")
-    instances = scratch.write(edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("score")), "instances")
-    for _ in range(rounds):
-        by_pattern = edges.join(instances, ["kind", "value"]).groupBy("kind", "ctx").agg((F.sum("score") / (F.count(F.lit(1)) + 0.5)).alias("p"))
-        met = edges.join(by_pattern, ["kind", "ctx"]).groupBy("kind", "value").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))).alias("off"))
-        instances = scratch.write(met.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("off")).alias("score")), "instances")
-    # A value's kind is the one it scores highest for; candidates of a confident value count where a pattern surrounds them.
-    best = instances.where(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    return edges.where(~F.col("seed")).join(best, ["value", "kind"]).select("ctx", "value", "kind").distinct()
+    finds = lambda column, kind: scanned.select(F.explode(column).alias("c")).select(kind.alias("kind"), F.explode("c.ctx").alias("ctx"), "c.value").distinct()
+    # Distinct instances of a pattern, whatever the number of their copies; kind is null for candidates.
+    seeds = scratch.write(finds("__t_seeds", F.col("c.kind")), "seeds")
+    loose = scratch.write(finds("__t_loose", F.lit(None).cast("string")), "candidates")
+    sure = seeds.select("kind", "value").distinct()
+    none = seeds.select("ctx", "value", "kind").limit(0)
+    good, n_good = none, 0
+    for _ in range(INDUCTIONS):
+        own = seeds.join(sure, ["kind", "value"], "left_semi").unionByName(loose.drop("kind").join(sure, "value").select("kind", "ctx", "value"))
+        patterns = own.distinct().groupBy("kind", "ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select(F.col("kind").alias("of"), "ctx")
+        met = loose.join(patterns, "ctx").select(F.col("of").alias("kind"), "ctx", "value", F.lit(None).cast("double").alias("fixed"))
+        if met.isEmpty():
+            return good
+        fixed = seeds.join(patterns, "ctx").select(F.col("of").alias("kind"), "ctx", "value", (F.col("kind") == F.col("of")).cast("double").alias("fixed"))
+        edges = fixed.unionByName(met).groupBy("kind", "ctx", "value").agg(F.max("fixed").alias("fixed"))
+        edges = scratch.write(edges, "edges")
+        instances = scratch.write(edges.groupBy("kind", "value").agg(F.max("fixed").alias("fixed")).withColumn("score", F.coalesce("fixed", F.lit(0.0))), "instances")
+        for _ in range(ROUNDS):
+            by_pattern = edges.join(instances.select("kind", "value", "score"), ["kind", "value"]).groupBy("kind", "ctx").agg((F.sum("score") / (F.count(F.lit(1)) + 0.5)).alias("p"))
+            after = edges.where("fixed IS NULL").join(by_pattern, ["kind", "ctx"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("_new"))
+            after = scratch.write(instances.join(after, ["kind", "value"], "left").select("kind", "value", "fixed", F.coalesce("fixed", "_new").alias("score"), F.abs(F.coalesce("fixed", "_new") - F.col("score")).alias("moved")), "instances")
+            scratch.drop(instances)
+            instances = after.drop("moved")
+            instances._scratch_path = after._scratch_path
+            if after.agg(F.max("moved")).first()[0] < TOLERANCE:
+                break
+        # A value's kind is the one it scores highest for; candidates of a confident value count where a pattern surrounds them.
+        best = instances.where(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        good = scratch.write(edges.where("fixed IS NULL").join(best, ["value", "kind"]).select("ctx", "value", "kind"), "good")
+        before, n_good = n_good, good.select("value").distinct().count()
+        if n_good == before:
+            break
+        sure = seeds.select("kind", "value").unionByName(good.select("kind", "value")).distinct()
+    return good
 
 
 def personal_data_digest(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """doc_id, a count of each kind's base spans, base_sha256, spans and n_added."""
+    """doc_id, a count of each kind's base spans, base_sha256, spans and n_added.
+
+    A row for each row: null texts count as empty and have no spans, repeated
+    rows are judged alike; an empty table gives an empty result.
+    """
     found = find_personal_data(docs.select(row_id, text), text)
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"])), ",")

@@ -266,6 +266,29 @@ def test_bootstrapping(spark, odd, none):
     out = {r["doc_id"]: r for r in pii.personal_data_digest(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out[0]["n_phone"] == 1 and out[0]["n_added"] == 0 and out[0]["base_sha256"] == hashlib.sha256(out[0]["spans"].encode()).hexdigest()
     assert out[100]["spans"] == "phone:12:25" and out[100]["n_phone"] == 0 and out[101]["spans"] == "" and out[102]["spans"] == ""
+    # More unseen identifiers than seeds, patterns of one side, and a pattern that only found identifiers induce; numbers elsewhere stay.
+    rng = random.Random(61)
+    number = lambda: f"{rng.randrange(200, 999)} {rng.randrange(1000, 9999)} {rng.randrange(1000, 9999)}"
+    rows, planted = [], set()
+    for i in range(12):
+        rows.append((i, f"{words(rng, 5)} reach me at +1 (555) 010-{1000 + i} {words(rng, 5)}", None))
+    twice = [number() for _ in range(4)]
+    for i in range(100, 120):
+        rows.append((i, f"{words(rng, 5)} reach me at {twice[i % 4] if i < 108 else number()} {words(rng, 5)}", None))
+        planted.add(i)
+    for i in range(200, 204):
+        rows.append((i, f"{words(rng, 5)} mobile no: {twice[i % 4]} {words(rng, 5)}", None))
+        planted.add(i)
+    for i in range(204, 206):
+        rows.append((i, f"{words(rng, 5)} mobile no: {number()} {words(rng, 5)}", None))
+        planted.add(i)
+    for i in range(300, 340):
+        rows.append((i, f"{words(rng, 5)} order {number()} {words(rng, 5)}", None))
+    # A context that seeds of several kinds and other numbers share says nothing.
+    for i in range(400, 440):
+        rows.append((i, f"{words(rng, 5)} of the {['+1 (555) 020-' + str(1000 + i), 'x' + str(i) + '@mail.example', '10.0.0.' + str(i % 250), number()][i % 4]} {words(rng, 5)}", None))
+    got = {r["doc_id"] for r in pii.personal_data_digest(spark.createDataFrame(rows, SCHEMA)).collect() if r["n_added"]}
+    assert got == planted
     assert pii.find_personal_data(odd).count() == 14 and pii.personal_data_digest(none).count() == 0
 
 
