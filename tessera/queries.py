@@ -9,9 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .functions.registry import AggregateFunction, Extension, vectorised
 from .operators import ann
 from .session import Session
+from .sources import storage
 from .streaming.replicate import Replicator
 
 #: Primary keys of the tables; lineitem and conversations have none of one column.
@@ -222,6 +224,99 @@ def compact_table(spark, sf_dir):
     return session.query("SELECT * FROM accounts").df
 
 
+def compact_auto(spark, sf_dir):
+    """As many small inserts as make one commit join their parts."""
+    session = Session(spark, new_database(spark, "compact_auto"))
+    session.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER)")
+    with session.transaction():
+        for i in range(storage.SMALL_PARTS):
+            session.execute("INSERT INTO t VALUES (?1, ?2)", i, i * i)
+    parts = len(session.state["tables"]["t"]["parts"])
+    return session.query("SELECT id, n FROM t").df.withColumn("parts", F.lit(parts))
+
+
+def drop_table(spark, sf_dir):
+    session = _customers(spark, sf_dir, "drop_table")
+    session.execute("DROP TABLE accounts")
+    session.execute("DROP TABLE IF EXISTS accounts")
+    session.execute("CREATE TABLE accounts (id INTEGER PRIMARY KEY, name TEXT(64))")
+    session.execute("INSERT INTO accounts VALUES (1, 'one'), (2, 'two')")
+    return session.query("SELECT * FROM accounts").df
+
+
+def drop_index(spark, sf_dir):
+    session = _customers(spark, sf_dir, "drop_index")
+    session.execute("CREATE INDEX by_name ON accounts(name) UNIQUE")
+    session.execute("DROP INDEX by_name")
+    session.execute("UPDATE accounts SET name = 'same' WHERE id <= 2")
+    return session.query("SELECT id, name FROM accounts WHERE name = 'same'").df
+
+
+def extension_reload(spark, sf_dir):
+    session = _customers(spark, sf_dir, "extension_reload")
+    session.execute("DROP EXTENSION text")
+    lost = session.has_function("REVERSE")
+    session.execute("CREATE EXTENSION text")
+    return session.query("SELECT id, REVERSE(name) AS back FROM accounts").df.withColumn("lost", F.lit(not lost))
+
+
+def copy_to(spark, sf_dir):
+    session, path = _customers(spark, sf_dir, "copy_to"), new_database(spark, "csv")
+    session.copy_to("accounts", path)
+    return spark.read.option("header", "true").schema("id long, name string, balance double, segment string").csv(path)
+
+
+def limit_parameter(spark, sf_dir):
+    return open_tables(spark, sf_dir, "orders").query("SELECT o_orderkey FROM orders WHERE o_totalprice > ?1 LIMIT ?2", 1000.0, 7).df
+
+
+def failed_statement(spark, sf_dir):
+    """A statement that fails in its last row leaves nothing, in and outside of a transaction."""
+    session = _customers(spark, sf_dir, "failed_statement")
+    for _ in range(2):
+        try:
+            session.execute("INSERT INTO accounts (id, name) VALUES (-1, 'new'), (1, 'taken')")
+        except EngineError:
+            pass
+        else:
+            raise AssertionError("a taken key was inserted")
+        if not session.in_transaction:
+            session.execute("BEGIN")
+    session.execute("COMMIT")
+    return session.query("SELECT * FROM accounts").df
+
+
+def reopened(spark, sf_dir):
+    """What a second session on the same path sees; a part that was never committed is not there."""
+    session = _customers(spark, sf_dir, "reopened")
+    session.execute("CREATE INDEX by_segment ON accounts(segment)")
+    session.execute("BEGIN")
+    session.execute("DELETE FROM accounts WHERE id > 3")
+    return Session(spark, session.storage.path).query("SELECT * FROM accounts").df
+
+
+def cached_table(spark, sf_dir):
+    session = _customers(spark, sf_dir, "cached_table")
+    session.cache("accounts")
+    session.query("SELECT COUNT(*) FROM accounts").rows
+    session.execute("DELETE FROM accounts WHERE id = 5")
+    session.query("SELECT COUNT(*) FROM accounts").rows
+    out = session.query("SELECT id, balance FROM accounts").df
+    return out.withColumn("hits", F.lit(session.metrics["cache_hits"])).withColumn("misses", F.lit(session.metrics["cache_misses"]))
+
+
+def replicate_prune(spark, sf_dir):
+    session = _customers(spark, sf_dir, "source")
+    replica = Replicator(spark, session.storage.path, new_database(spark, "replica"))
+    for i in range(3):
+        session.execute("DELETE FROM accounts WHERE id = ?1", i + 1)
+        replica.snapshot()
+    replica.prune(keep=1)
+    target = new_database(spark, "restored")
+    replica.restore(target)
+    return Session(spark, target).query("SELECT * FROM accounts").df.withColumn("bases", F.lit(len(replica.bases())))
+
+
 def replicate_restore(spark, sf_dir):
     session = _customers(spark, sf_dir, "source")
     replica = Replicator(spark, session.storage.path, new_database(spark, "replica"))
@@ -284,7 +379,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "prepared_select": (prepared_select, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 10 AND o_orderkey < 900 AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 30"),
     "ann_exact": (_index("exact"), f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_V0}), 6) AS distance FROM embeddings ORDER BY 1 - list_cosine_similarity({_E}, {_V0}), vec_id LIMIT 10"),
     "ann_lsh": (_index("lsh"), None),
-    "ann_ivf": (_index("ivf"), None),
+    # Every cell that can hold one of the nearest is searched, so the result is the exact one.
+    "ann_ivf": (_index("ivf"), f"SELECT vec_id, round(1 - list_cosine_similarity({_E}, {_V0}), 6) AS distance FROM embeddings ORDER BY 1 - list_cosine_similarity({_E}, {_V0}), vec_id LIMIT 10"),
     "knn_batch": (knn_batch, f"SELECT query_id, rank, round(s, 6) AS similarity FROM (SELECT q.vec_id AS query_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, e.vec_id) AS INT) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= 5"),
     "csv_copy": (csv_copy, _ACCOUNTS),
     "dml_insert": (dml_insert, f"{_ACCOUNTS} UNION ALL VALUES (-1, 'new', 2.0, NULL), (-2, 'newer', 3.0, NULL)"),
@@ -294,6 +390,16 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "txn_commit": (txn_commit, "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey <= 10 THEN 0.0 ELSE c_acctbal END AS balance, c_mktsegment AS segment FROM customer WHERE c_custkey <= 50"),
     "txn_rollback": (txn_rollback, _ACCOUNTS),
     "compact_table": (compact_table, f"{_ACCOUNTS} UNION ALL VALUES (-1, 'new', NULL, NULL)"),
+    "compact_auto": (compact_auto, "SELECT i AS id, i * i AS n, CAST(1 AS INT) AS parts FROM (SELECT unnest(range(16)) AS i)"),
+    "drop_table": (drop_table, "SELECT CAST(1 AS BIGINT) AS id, 'one' AS name UNION ALL SELECT 2, 'two'"),
+    "drop_index": (drop_index, "SELECT c_custkey AS id, 'same' AS name FROM customer WHERE c_custkey <= 2"),
+    "extension_reload": (extension_reload, "SELECT c_custkey AS id, reverse(c_name) AS back, true AS lost FROM customer"),
+    "copy_to": (copy_to, _ACCOUNTS),
+    "limit_parameter": (limit_parameter, "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000.0 ORDER BY o_orderkey LIMIT 7"),
+    "failed_statement": (failed_statement, _ACCOUNTS),
+    "reopened": (reopened, _ACCOUNTS),
+    "cached_table": (cached_table, "SELECT c_custkey AS id, c_acctbal AS balance, CAST(1 AS INT) AS hits, CAST(2 AS INT) AS misses FROM customer WHERE c_custkey != 5"),
+    "replicate_prune": (replicate_prune, f"SELECT *, CAST(1 AS INT) AS bases FROM ({_ACCOUNTS} WHERE c_custkey NOT IN (1, 2, 3))"),
     "replicate_restore": (replicate_restore, f"{_ACCOUNTS} WHERE c_custkey <= 100"),
     "restore_earlier": (restore_earlier, _ACCOUNTS),
     "ext_scalar": (ext_scalar, "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_custkey * 2 < 1000"),

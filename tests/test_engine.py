@@ -11,6 +11,8 @@ from tessera.operators import ann
 from tessera.plans import ast
 from tessera.plans.parser import parse
 from tessera.session import Session
+from tessera.sources.files import Files
+from tessera.sources.storage import Storage
 from tessera.streaming.replicate import Replicator
 
 
@@ -157,7 +159,73 @@ def test_transactions(spark, data, tmp_path):
         data.execute("COMMIT")
     assert data.query("SELECT id FROM test_data").column(0) == [1, 2, 3, 4] or sorted(data.query("SELECT id FROM test_data").column(0)) == [1, 2, 3, 4]
     data.storage.compact("test_data")
-    assert data.storage.vacuum() > 0 and len(Session(spark, data.storage.path).query("SELECT * FROM test_data")) == 4
+    assert data.storage.vacuum(unnamed_seconds=0) > 0 and len(Session(spark, data.storage.path).query("SELECT * FROM test_data")) == 4
+
+
+def test_vacuum_leaves_open_transactions_and_replicated_versions(spark, data):
+    data.execute("BEGIN")
+    data.execute("INSERT INTO test_data VALUES (6, 600, 'C')")
+    other = Session(spark, data.storage.path)
+    assert other.storage.vacuum() == 0
+    data.execute("COMMIT")
+    assert len(data.query("SELECT * FROM test_data")) == 6
+    before = data.state["version"]
+    data.execute("DELETE FROM test_data WHERE id > 1")
+    assert other.storage.vacuum(replicated=before) == 0 and len(other.storage.read(other.storage.manifest(before), "test_data").collect()) == 6
+    assert other.storage.vacuum() > 0 and data.query("SELECT id FROM test_data").column(0) == [1]
+
+
+def test_one_of_two_writers_wins(spark, data):
+    from threading import Barrier, Thread
+
+    barrier, ends = Barrier(4), []
+
+    def write(i):
+        store = Storage(spark, data.storage.path)
+        state = store.manifest()
+        barrier.wait()
+        try:
+            ends.append(store.publish(state)["version"])
+        except TransactionError:
+            ends.append(None)
+
+    before = data.state["version"]
+    threads = [Thread(target=write, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(ends, key=bool) == [None, None, None, before + 1]
+
+
+def test_replacing_a_file_leaves_none_beside(spark, tmp_path):
+    files = Files(spark)
+    assert files.write(str(tmp_path / "x.json"), "1") and not files.write(str(tmp_path / "x.json"), "2")
+    assert files.write(str(tmp_path / "x.json"), "3", replace=True) and files.read(str(tmp_path / "x.json")) == "3"
+    assert files.names(str(tmp_path)) == ["x.json"] or not [n for n in files.names(str(tmp_path)) if n not in ("x.json",) and not n.endswith(".crc")]
+
+
+def test_small_parts_cache_and_metrics(data):
+    for i in range(10, 14):
+        data.execute("INSERT INTO test_data VALUES (?1, 0, 'D')", i)
+    state = data.storage.manifest()
+    data.storage.compact_small(state, small_parts=6)
+    assert len(state["tables"]["test_data"]["parts"]) == 5
+    data.storage.compact_small(state, small_bytes=0, small_parts=2)
+    assert len(state["tables"]["test_data"]["parts"]) == 5
+    data.storage.compact_small(state, small_parts=5)
+    data.storage.publish(state)
+    assert len(state["tables"]["test_data"]["parts"]) == 1 and len(data.query("SELECT * FROM test_data")) == 9
+    data.cache("TEST_DATA")
+    assert [len(data.query("SELECT * FROM test_data")) for _ in range(3)] == [9, 9, 9]
+    data.execute("DELETE FROM test_data WHERE id >= 10")
+    assert len(data.query("SELECT * FROM test_data")) == 5
+    data.uncache("test_data")
+    assert len(data.query("SELECT * FROM test_data")) == 5
+    seen = data.metrics
+    assert seen["cache_misses"] == 2 and seen["cache_hits"] >= 2 and seen["compactions"] == 1 and seen["commits"] >= 7 and seen["bytes_written"] > 0
+    with pytest.raises(EngineError):
+        data.cache("nothing")
 
 
 def test_indexes_and_drop(data):
