@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import importlib.util
+import pickle
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, TypeMismatch
@@ -48,8 +50,9 @@ def vectorised(name: str, function: Callable[..., pd.Series], args: tuple[str, .
 class AggregateFunction:
     """States are made by ``create``, fed by ``accumulate(state, *values)``, joined by ``merge`` and read by ``finalize``.
 
-    Partial states of batches are merged, as a grouped pandas function sees all
-    values of its group.
+    With ``merge`` each partition makes a state of its rows, and only states
+    are gathered; they are pickled on the way.  Without it all values are
+    gathered in one task.
     """
 
     name: str
@@ -60,19 +63,37 @@ class AggregateFunction:
     merge: Callable[[object, object], object] | None = None
     result: str = "real"
 
-    def column(self, given: list[Typed]) -> Column:
-        create, accumulate, finalize = self.create, self.accumulate, self.finalize
+    def column(self, given: list[Typed], source: DataFrame) -> Column:
+        """The aggregate of the rows of ``source``."""
+        create, accumulate, finalize, merge = self.create, self.accumulate, self.finalize, self.merge
 
-        def fold(*series):
+        def fold(batches):
             state = create()
-            for values in zip(*series):
-                state = accumulate(state, *(None if v is None or v != v else v for v in values))
-            return finalize(state)
+            for batch in batches:
+                for values in zip(*(c.to_pylist() for c in batch.columns)):
+                    state = accumulate(state, *(None if v is None or v != v else v for v in values))
+            return state
 
-        fold.__annotations__ = {"return": object}
-        from pyspark.sql.pandas.functions import PandasUDFType
+        def partial(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fold(batches))], pa.binary())], names=["state"])
 
-        return F.pandas_udf(fold, _RESULTS[self.result], PandasUDFType.GROUPED_AGG)(*[a.column for a in given])
+        def join(batches):
+            state = create()
+            for batch in batches:
+                for other in batch.column(0).to_pylist():
+                    state = merge(state, pickle.loads(other))
+            yield result(finalize(state))
+
+        def whole(batches):
+            yield result(finalize(fold(batches)))
+
+        type_ = {"int": pa.int64(), "real": pa.float64(), "text": pa.string(), "vector": pa.list_(pa.float64())}[self.result]
+        result = lambda value: pa.RecordBatch.from_arrays([pa.array([value], type_)], names=["value"])
+        schema = f"value {_RESULTS[self.result]}"
+        values = source.select(*[a.column.alias(f"a{i}") for i, a in enumerate(given)])
+        if merge is None:
+            return values.repartition(1).mapInArrow(whole, schema).scalar()
+        return values.mapInArrow(partial, "state binary").repartition(1).mapInArrow(join, schema).scalar()
 
 
 @dataclass
@@ -137,11 +158,11 @@ class Registry:
             raise EngineError(f"{name} takes {f.least}{'' if f.most == f.least else f' to {f.most}' if f.most else ' or more'} arguments, not {len(args)}")
         return f.build(args)
 
-    def aggregate(self, name: str, args: list[Typed]) -> Column:
+    def aggregate(self, name: str, args: list[Typed], source: DataFrame) -> Column:
         f = self.aggregates[name.upper()]
         if len(args) != f.arguments:
             raise EngineError(f"{name} takes {f.arguments} arguments, not {len(args)}")
-        return f.column(args)
+        return f.column(args, source)
 
 
 def load(name: str, path: str) -> Extension:

@@ -164,18 +164,22 @@ def _nearest(rows: DataFrame, shared, k: int, id_: str, vector: str) -> DataFram
         if not ids:
             return
         queries = _unit(np.array([v for _, v in shared.value], float))
+        # The best so far of each query; a partition passes on k rows for each.
+        best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = batch.column(0).to_numpy()
-            cosines = np.round(queries @ _unit(np.array(batch.column(1).to_pylist(), float)).T, 9)
-            q, i, s = [], [], []
-            for row, query in zip(cosines, ids):
-                best = np.lexsort((names, -row))[:k]
-                q += [query] * len(best)
-                i += names[best].tolist()
-                s += row[best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "similarity"])
+            cosines = np.round(queries @ _unit(batch.column(1).flatten().to_numpy().reshape(len(names), -1)).T, 9)
+            least = np.partition(cosines, -k, axis=1)[:, -k] if 0 < k < len(names) else np.full(len(ids), -np.inf)
+            for q, (own, score) in enumerate(best):
+                at = np.flatnonzero(cosines[q] >= least[q])
+                own, score = np.append(own, names[at]), np.append(score, cosines[q][at])
+                order = np.lexsort((own, -score))[:k]
+                best[q] = own[order], score[order]
+        counts = [len(own) for own, _ in best]
+        columns = [pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.concatenate([own for own, _ in best])), pa.array(np.concatenate([score for _, score in best]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity"])
 
     own = rows.select(F.col(id_).cast("long"), F.col(vector).cast("array<double>"))
     return own.mapInArrow(scan, "query_id long, id long, similarity double")

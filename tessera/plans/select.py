@@ -78,8 +78,8 @@ def _aggregate(registry, expr) -> bool:
 class _Folding(Compiler):
     """Compiles items of an aggregation: plain columns are those of the row with the smallest key."""
 
-    def __init__(self, rows: Compiler, key: str | None):
-        self.rows, self.key = rows, key
+    def __init__(self, rows: Compiler, key: str | None, source: DataFrame):
+        self.rows, self.key, self.source = rows, key, source
         self.registry, self.params, self.fields = rows.registry, rows.params, rows.fields
 
     def _name(self, node):
@@ -90,7 +90,7 @@ class _Folding(Compiler):
 
     def _call(self, node):
         if node.name in AGGREGATES or self.registry.has_aggregate(node.name):
-            return _fold(self.registry, self.rows, node)
+            return _fold(self.registry, self.rows, node, self.source)
         return super()._call(node)
 
 
@@ -98,18 +98,18 @@ def _aggregated(registry, compile_: Compiler, select: ast.Select, source: DataFr
     """One row; ORDER BY has no effect on it."""
     if any(i.expr is None for i in select.items):
         raise EngineError("* beside an aggregate")
-    fold = _Folding(compile_, key)
+    fold = _Folding(compile_, key, source)
     return source.agg(*[fold(i.expr).column.alias(_label(i, position)) for position, i in enumerate(select.items)])
 
 
-def _fold(registry, compile_: Compiler, call: ast.Call) -> Typed:
+def _fold(registry, compile_: Compiler, call: ast.Call, source: DataFrame) -> Typed:
     if call.star:
         if call.name != "COUNT":
             raise EngineError(f"{call.name}(*) has no meaning")
         return Typed(F.count(F.lit(1)), "int")
     args: list[Typed] = [compile_(a) for a in call.args]
     if registry.has_aggregate(call.name):
-        return Typed(registry.aggregate(call.name, args), registry.aggregates[call.name].result)
+        return Typed(registry.aggregate(call.name, args, source), registry.aggregates[call.name].result)
     if len(args) != 1:
         raise EngineError(f"{call.name} takes one argument")
     value = args[0]

@@ -352,7 +352,7 @@ def _spread(state, value):
 
 def ext_aggregate(spark, sf_dir):
     session = open_tables(spark, sf_dir, "orders")
-    spread = AggregateFunction("SPREAD", 1, lambda: (None, None), _spread, lambda s: None if s[0] is None else float(s[1] - s[0]))
+    spread = AggregateFunction("SPREAD", 1, lambda: (None, None), _spread, lambda s: None if s[0] is None else float(s[1] - s[0]), lambda s, t: _spread(_spread(s, t[0]), t[1]))
     session.registry.register(Extension("spread", "1.0", [], [spread]))
     return session.query("SELECT SPREAD(o_totalprice) AS spread FROM orders").df
 

@@ -324,6 +324,10 @@ def test_extensions(spark, db, tmp_path):
     db.execute("CREATE TABLE n (id INTEGER PRIMARY KEY, x REAL)")
     db.execute("INSERT INTO n VALUES (1, 1), (2, 3), (3, NULL)")
     assert db.query("SELECT MEAN2(x) AS m FROM n").rows == [(2.0,)]
+    merged = AggregateFunction("MEAN3", mean.arguments, mean.create, mean.accumulate, mean.finalize, lambda s, t: (s[0] + t[0], s[1] + t[1]))
+    db.registry.register(Extension("m3", "1", [], [merged]))
+    assert db.query("SELECT MEAN3(x) + 1.0 AS m, COUNT(*) AS n, MEAN2(x) AS o FROM n WHERE id < 9").rows == [(3.0, 3, 2.0)]
+    assert db.query("SELECT MEAN3(x) AS m, COUNT(*) AS n FROM n WHERE id > 9").rows == [(None, 0)]
     (tmp_path / "ext.py").write_text("from tessera.functions.registry import Extension, vectorised\n\ndef create_extension():\n    return Extension('plus', '1', [vectorised('PLUSONE', lambda x: x + 1, ('int',), 'int')])\n")
     db.execute(f"CREATE EXTENSION plus WITH PATH '{tmp_path / 'ext.py'}'")
     again = Session(spark, db.storage.path)
