@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, extended, text_batches
+from .scratch import Scratch, extended, once, text_batches
 from .words import Words, byte_groups, grams
 
 SPAN = 13
@@ -195,7 +195,7 @@ def _scan(docs: DataFrame, shared, text: str, span: int, gram: int) -> DataFrame
     at = docs.columns.index(text)
 
     def scan(batches):
-        block = Block([t for t, _ in shared.value], span, gram)
+        block = once(shared.value, ("block", span, gram), lambda v: Block([t for t, _ in v], span, gram))
         ids = [i for _, i in shared.value]
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()

@@ -7,6 +7,7 @@ executor costs a reread and not a recomputation.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ TEXT_BATCH_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where none is set."""
+    """The folder that all executors see; a temporary one only where none is set and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,6 +34,17 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+_made: dict = {}
+
+
+def once(value, name, make):
+    """What ``make`` makes of a broadcast value, made once in a Python worker as long as the value is the same."""
+    held = _made.get(name)
+    if held is None or held[0] is not value:
+        held = _made[name] = (value, make(value))
+    return held[1]
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """A schema with more fields."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import extended
+from .scratch import extended, once
 
 #: Rules that a broadcast trie may hold: about 400 bytes each.
 TRIE_RULES = 200_000
@@ -53,6 +53,8 @@ class Trie:
             tails = node.setdefault("tails", {})
             if tail not in tails or rule.verdict == "block":
                 tails[tail] = rule
+            if len(tail) not in node.setdefault("lengths", []):
+                node["lengths"] = sorted([*node["lengths"], len(tail)], reverse=True)
 
     def find(self, host: str, path: str) -> Rule | None:
         """The rule with the longest host and then the longest path that fits."""
@@ -67,17 +69,18 @@ class Trie:
 
     @staticmethod
     def _path(node: dict, path: str) -> Rule | None:
-        best, segments = None, path.split("/")
-        for i, segment in enumerate(segments):
-            if tails := node.get("tails"):
-                rest = "/".join(segments[i:])
-                for tail in sorted(tails, key=len, reverse=True):
-                    if rest.startswith(tail):
-                        best = tails[tail]
-                        break
-            node = node.get(("segment", segment))
-            if node is None:
+        best, at = None, 0
+        while node is not None:
+            tails = node.get("tails", {})
+            # As many look-ups as there are lengths of tails here, however many tails.
+            for n in node.get("lengths", ()):
+                if rule := tails.get(path[at : at + n]):
+                    best = rule
+                    break
+            end = path.find("/", at)
+            if end < 0:
                 break
+            node, at = node.get(("segment", path[at:end])), end + 1
         return best
 
 
@@ -114,7 +117,7 @@ def _by_trie(df: DataFrame, rules: list[Rule], url: str, default: str) -> DataFr
     at = df.columns.index(url)
 
     def judge(batches):
-        trie = Trie(shared.value)
+        trie = once(shared.value, "trie", Trie)
         for batch in batches:
             hosts, paths, names, verdicts = [], [], [], []
             for u in batch.column(at).to_pylist():

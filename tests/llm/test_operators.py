@@ -235,6 +235,11 @@ def test_urls(spark, none):
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
     assert sorted(map(str, urls.judge_urls(df, table, trie_rules=2).select(*by_trie[0].__fields__).collect())) == sorted(map(str, by_trie))
     assert urls.judge_urls(none.withColumnRenamed("text", "url"), rules).count() == 0
+    # Repeated rows, very long urls and nulls.
+    long = "http://a.org/" + "/".join(["seg"] * 40_000)
+    rows = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "x." * 20_000 + "net/"), (None, None)], "page_id long, url string")
+    got = sorted((r["rule"] or "", r["verdict"]) for r in urls.judge_urls(rows, rules).collect())
+    assert got == [("", "allow"), ("a.org", "block"), ("a.org", "block"), ("net/", "block")]
 
 
 # 6
