@@ -32,9 +32,13 @@ def open_tables(spark: SparkSession, sf_dir: str, *names: str, path: str | None
 
 
 def new_database(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    shared = shared.rstrip("/")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A path in the folder that all executors see; in a temporary one only where all run on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
+        shared = tempfile.mkdtemp(prefix="tessera-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # One-statement queries: name -> (table, statement, SQL to compare with; None if it is the same text).
