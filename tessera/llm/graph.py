@@ -13,6 +13,7 @@ bucket and are alike.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, groups_bytes: int) -> DataFrame:
     """``run`` on whole groups of ``rows``, many small ones at once: it gets a table, in order of node, and the bounds of the groups in it.
 
     A group must fit into memory; groups are streamed, not held together.
@@ -89,7 +90,7 @@ def by_group(rows: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarr
             if batch.num_rows:
                 held.append(batch)
                 size += batch.nbytes
-            if size >= _GROUPS_BYTES:
+            if size >= groups_bytes:
                 out, rest = whole(pa.Table.from_batches(held), False)
                 yield from out
                 # A copy, so that what has been handed over can go.
@@ -121,6 +122,8 @@ def link_groups(
     classes: Callable[[list[bytes], np.ndarray], np.ndarray],
     cross: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, Callable], tuple[np.ndarray, np.ndarray]],
     scratch: Scratch,
+    groups_bytes: int = _GROUPS_BYTES,
+    once: bool = False,
 ) -> DataFrame:
     """(node, comp) of the nodes of shared buckets, comp being a member of the class.
 
@@ -130,37 +133,56 @@ def link_groups(
     row of its class's member; ``cross`` gets bodies, bounds, marks of the rows
     that are to be compared with the others, numbers of classes, and a function
     of (a, b) that gives the pairs of rows of the group from a to b that no
-    other block and no chunk has; it gives links between classes.
+    other block and no chunk has; it gives links between classes.  With
+    ``once``, ``classes`` also gets the chunks, as pairs of arrays, in which the
+    rows have been compared at the levels before, so that no pair of unlike
+    members is compared again, and the last comparison leaves these out too.
     """
 
-    def join_classes(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+    def chunks_of(table: pa.Table, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(table.column(f"home{i}").to_numpy(), table.column(f"chunk{i}").to_numpy()) for i in range(levels)]
+
+    def carried(levels: int) -> list[str]:
+        return [f"{name}{i}" for i in range(levels) for name in ("home", "chunk")] if once else []
+
+    def join_classes(table: pa.Table, bounds: np.ndarray, level: int) -> pa.Table:
         nodes = table.column("node").combine_chunks()
         new = np.ones(table.num_rows, bool)
         new[1:] = pc.not_equal(nodes.slice(1), nodes.slice(0, table.num_rows - 1)).to_numpy(zero_copy_only=False)
         new[bounds[:-1]] = True
         if not new.all():  # repeated rows
             table, bounds = table.filter(pa.array(new)), np.append(0, np.cumsum(new))[bounds]
-        of = classes(table.column("body").cast(pa.binary()).to_pylist(), bounds)
+        found = table.column("body").cast(pa.binary()).to_pylist()
+        of = classes(found, bounds, chunks_of(table, level)) if once else classes(found, bounds)
         # The body goes on with the member that stands for the class.
         own = pa.array(of == np.arange(len(of)))
         bodies = pc.if_else(own, table.column("body"), pa.scalar(None, pa.string()))
-        return pa.table({"node": table.column("node"), "comp": table.column("node").take(pa.array(of)), "size": table.column("size"), "body": bodies})
+        out = {"node": table.column("node"), "comp": table.column("node").take(pa.array(of)), "size": table.column("size"), "body": bodies}
+        if once:
+            out |= {f"home{level}": table.column("home"), f"chunk{level}": table.column("chunk")}
+        return pa.table({name: table.column(name) for name in carried(level)} | out)
+
+    def join_level(rows: DataFrame, level: int) -> DataFrame:
+        kept = [f"{name} {'long' if name.startswith('home') else 'int'}" for name in carried(level)]
+        own = [f"home{level} long", f"chunk{level} int"] if once else []
+        joined = ", ".join([*kept, "node binary, comp binary, size long, body string", *own])
+        return scratch.write(by_group(rows, ["home", "chunk"], partial(join_classes, level=level), joined, groups_bytes), "classes")
 
-    joined = "node binary, comp binary, size long, body string"
     shared = scratch.write(_shared(members, scratch), "members")
     bodies = scratch.write(fetch(_homes(shared)), "bodies")
-    found = scratch.write(by_group(bodies, ["home", "chunk"], join_classes, joined), "classes")
+    found, levels = join_level(bodies, 0), []
     comp = found.select("node", "comp")
     mixed = shared.select("bucket", "node")
     while True:
         # The members that stand for classes, in all buckets of these.
         own = mixed.join(found.select("node", "comp"), "node").select("bucket", F.col("comp").alias("node")).distinct()
-        reps = found.where("body IS NOT NULL").select("node", "size", "body")
+        reps = found.where("body IS NOT NULL").select("node", "size", "body", *carried(len(levels) + 1))
         mixed = scratch.write(_shared(own.join(reps.select("node", "size"), "node"), scratch), "mixed")
         if mixed.isEmpty():
             return comp
         at = _homes(mixed).join(reps.drop("size"), "node")
-        found = scratch.write(by_group(at, ["home", "chunk"], join_classes, joined), "classes")
+        found = join_level(at, len(levels) + 1)
+        levels.append(found)
         joins, nodes = found.agg(F.count_if(F.col("node") != F.col("comp")), F.count(F.lit(1))).first()
         if not joins:
             break
@@ -172,6 +194,10 @@ def link_groups(
     labelled = scratch.write(labelled, "labelled")
     # A pair of several buckets is compared in the least of them.
     of_node = bodies.select("node", "home", "chunk", "body").join(labelled.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")
+    # Members that stood for classes have been compared in chunks of later levels.
+    for i, level in enumerate(levels if once else [], 1):
+        of_node = of_node.join(level.select("node", f"home{i}", F.col(f"chunk{i}").alias("_chunk")), "node", "left")
+        of_node = of_node.withColumn(f"home{i}", F.coalesce(f"home{i}", F.lit(0))).withColumn(f"chunk{i}", F.coalesce("_chunk", F.lit(-1))).drop("_chunk")
     sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), (F.sum("n") - F.max("n")).alias("n_out"), F.sum("n").alias("n_all"))
     within = labelled.join(scratch.write(major, "major"), "bucket")
@@ -185,15 +211,20 @@ def link_groups(
     blocks = within.select("bucket", "node", "comp", F.explode(F.when(outside, F.array(here, there)).otherwise(F.array(there))).alias("b"))
     blocks = blocks.select("bucket", "node", "comp", "b.side", "b.j", F.explode("b.i").alias("i")).select("bucket", "node", "comp", "side", "i", F.explode("j").alias("j"))
 
+    later = range(1, len(levels) + 1) if once else range(0)
+
     def cross_links(table: pa.Table, bounds: np.ndarray) -> pa.Table:
         comps, number = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)
-        side, homes, chunks = (table.column(c).to_numpy() for c in ("side", "home", "chunk"))
+        side = table.column("side").to_numpy()
+        chunks = [(table.column("home").to_numpy(), table.column("chunk").to_numpy())]
+        chunks += [(table.column(f"home{i}").to_numpy(), table.column(f"chunk{i}").to_numpy()) for i in later]
         at, lists = table.column("bucket").to_numpy(), table.column("buckets").to_pylist()
 
         def pairs(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
             x, y = a + np.flatnonzero(side[a:b] == 2), a + np.flatnonzero(side[a:b] < 2)
             open_ = number[x][:, None] != number[y]
-            open_ &= (homes[x][:, None] != homes[y]) | (chunks[x][:, None] != chunks[y])
+            for home, chunk in chunks:
+                open_ &= (home[x][:, None] != home[y]) | (chunk[x][:, None] != chunk[y]) | (chunk[y] < 0)
             # Two nodes outside of the largest class meet twice; rows are in order of node.
             open_ &= (side[y] == 0) | (x[:, None] < y)
             for rows in (smaller := _members_of(lists, a, b, at[a])):
@@ -206,7 +237,7 @@ def link_groups(
         return pa.table({"a": named.take(pa.array(a, pa.int64())), "b": named.take(pa.array(b, pa.int64()))})
 
     links = blocks.join(of_node, "node")
-    links = scratch.write(by_group(links, ["bucket", "i", "j"], cross_links, "a binary, b binary"), "links")
+    links = scratch.write(by_group(links, ["bucket", "i", "j"], cross_links, "a binary, b binary", groups_bytes), "links")
     if links.isEmpty():
         return comp
     after = components(links, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
@@ -233,9 +264,30 @@ class Joined:
 
     def next(self) -> int | None:
         """A row not yet compared, outside of the largest class: when there is none, all pairs across classes have been compared."""
+        rows = self.next_rows(1)
+        return int(rows[0]) if len(rows) else None
+
+    def next_rows(self, most: int) -> np.ndarray:
+        """Several such rows, at most so many."""
         largest = np.bincount(self.label).argmax()
-        open_ = np.flatnonzero((self.label != largest) & ~self.done)
-        return int(open_[0]) if len(open_) else None
+        return np.flatnonzero((self.label != largest) & ~self.done)[:most]
+
+    def pairs(self, rows: np.ndarray, chunks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of ``rows``, which are in order, with rows of other classes that have not been compared, nor in any of ``chunks``."""
+        open_ = (self.label[rows][:, None] != self.label) & ~self.done
+        for home, chunk in chunks:
+            open_ &= (home[rows][:, None] != home) | (chunk[rows][:, None] != chunk)
+        open_[:, rows] &= rows[:, None] < rows
+        x, y = np.nonzero(open_)
+        return rows[x], y
+
+    def add_pairs(self, rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """``rows`` have been compared with all others, and x are like y."""
+        self.done[rows] = True
+        np.add.at(self.links, x, 1)
+        for row in np.unique(x):
+            labels = np.unique(self.label[np.append(y[x == row], row)])
+            self.label[np.isin(self.label, labels)] = labels[0]
 
     def add(self, row: int, alike: np.ndarray) -> None:
         """``row`` has been compared with all others, and is like those."""

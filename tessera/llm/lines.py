@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .edits import Codes
 from .graph import Joined, link_groups
 from .scratch import Scratch, text_batches
 from .words import Words, byte_groups, mix
@@ -37,7 +38,13 @@ RUN, BLOCKS = 7, 8
 FEW_WORDS = 16
 #: Bits of the map that tells which lines share a block: 16 MB, whatever the corpus; where it fills up, more lines are fetched than need be.
 MAP_BITS = 1 << 27
+#: Rows of a group that are compared in one round at most.
+AT_ONCE = 64
+#: Bytes of groups whose pairs are compared at once: many, as pairs of about the same length go together.
+GROUPS_BYTES = 12 << 20
 _SLICE = 1 << 20
+#: Characters from which on passages in common are looked for before the edit distance.
+_LONG = 1000
 #: Digits as 0, and what is no letter, digit or line feed as a space.
 _PLAIN = bytes(b if b >= 0x80 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
 #: A character from U+3000 on: it counts as a word.
@@ -233,6 +240,25 @@ def _distance(x: str, y: str, most: int) -> int:
     return len(y) + up.bit_count() - down.bit_count()
 
 
+def _by_passages(x: str, y: str, most: int) -> bool:
+    """Whether ``most`` edits do if what lies between passages in common is replaced; if not, fewer edits may do otherwise."""
+    i, j, cost = 0, 0, 0
+    while cost <= most and i < len(x) and j < len(y):
+        while x[i : i + 64] == y[j : j + 64] and i < len(x):
+            i, j = i + 64, j + 64
+        while i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j = i + 1, j + 1
+        if i >= len(x) or j >= len(y):
+            break
+        for skipped in range(1, 64):
+            if (at := y.find(x[i + skipped : i + skipped + 12], j, j + skipped + 64)) >= 0:
+                break
+        else:
+            return False
+        i, j, cost = i + skipped, at, cost + max(skipped, at - j)
+    return cost + max(len(x) - i, len(y) - j, 0) <= most
+
+
 def within(x: str, y: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``; what both have in common at either end is cut first."""
     if len(x) > len(y):
@@ -247,7 +273,7 @@ def within(x: str, y: str, most: int) -> bool:
     while tail < len(x) and x[-1 - tail] == y[-1 - tail]:
         tail += 1
     x, y = x[: len(x) - tail], y[: len(y) - tail]
-    if len(y) <= most:
+    if len(y) <= most or (len(y) > _LONG and _by_passages(x, y, most)):
         return True
     # Lines that are unlike mostly are so far apart after two edits' worth of characters for each allowed one.
     part, less = 2 * most + 16, len(x) - len(y)
@@ -261,25 +287,49 @@ class _Table:
 
     def __init__(self, bodies: list[bytes]):
         self.texts = [b.decode() for b in bodies]
-        self.lengths = np.array([len(t) for t in self.texts])
+        self.codes = Codes(self.texts)
+        self.lengths = self.codes.lengths
 
     def alike(self, rows: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
         """Which of the pairs have the edit similarity."""
         most = np.floor((1 - similarity) * np.maximum(self.lengths[rows], self.lengths[others]) + 1e-9).astype(np.int64)
         out = np.abs(self.lengths[rows] - self.lengths[others]) <= most
         some = np.flatnonzero(out)
-        out[some] = [within(self.texts[x], self.texts[y], m) for x, y, m in zip(rows[some].tolist(), others[some].tolist(), most[some].tolist())]
+        out[some] = self.codes.within(rows[some], others[some], most[some], lambda x, y, m: within(self.texts[x], self.texts[y], m))
         return out
 
 
-def _classes(bodies: list[bytes], bounds: np.ndarray, similarity: float) -> np.ndarray:
+def _classes(bodies: list[bytes], bounds: np.ndarray, chunks: list = (), *, similarity: float) -> np.ndarray:
+    """Rows of all groups are compared in rounds; a group takes more rows at once after a round that joined few."""
     table, out = _Table(bodies), np.arange(len(bodies))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        joined = Joined(b - a)
-        while (row := joined.next()) is not None:
-            others = np.flatnonzero((joined.label != joined.label[row]) & ~joined.done)
-            joined.add(row, others[table.alike(np.full(len(others), a + row), a + others, similarity)])
-        out[a:b] = a + joined.members()
+    starts, sizes = bounds[:-1], np.diff(bounds)
+    two = starts[sizes == 2]
+    for home, chunk in chunks:
+        two = two[(home[two] != home[two + 1]) | (chunk[two] != chunk[two + 1])]
+    out[two[table.alike(two, two + 1, similarity)] + 1] -= 1
+    open_ = [(a, Joined(n), 1) for a, n in zip(starts.tolist(), sizes.tolist()) if n > 2]
+    done = []
+    while open_:
+        pairs, asked = [], []
+        for group in open_:
+            a, joined, at_once = group
+            if len(rows := joined.next_rows(at_once)):
+                x, y = joined.pairs(rows, [(home[a : a + len(joined.label)], chunk[a : a + len(joined.label)]) for home, chunk in chunks])
+                pairs.append((a + x, a + y))
+                asked.append((group, rows, x, y))
+            else:
+                done.append(group)
+        if not asked:
+            break
+        alike = table.alike(*(np.concatenate(p) for p in zip(*pairs)), similarity)
+        open_, end = [], 0
+        for (a, joined, at_once), rows, x, y in asked:
+            like = alike[end : end + len(x)]
+            end += len(x)
+            joined.add_pairs(rows, x[like], y[like])
+            open_.append((a, joined, at_once if 8 * np.count_nonzero(like) > len(like) else min(2 * at_once, AT_ONCE)))
+    for a, joined, _ in done:
+        out[a : a + len(joined.label)] = a + joined.members()
     return out
 
 
@@ -309,7 +359,7 @@ def _judge(docs: DataFrame, text: str, row_id: str, similarity: float, least_cha
         picked = homes.join(nodes.select("node", *keys(lambda c: F.col(f"at.{c}"))), "node").hint("shuffle_hash")
         return judged.where(has_norm).select("node", *keys(F.col), F.col("norm").alias("body")).join(picked, ["node", "_id", "_line"]).drop("_id", "_line")
 
-    comp = link_groups(members, fetch, partial(_classes, similarity=similarity), partial(_cross, similarity=similarity), scratch)
+    comp = link_groups(members, fetch, partial(_classes, similarity=similarity), partial(_cross, similarity=similarity), scratch, GROUPS_BYTES, once=True)
     # A line that occurs once and has no link is kept; the others are looked up.
     of_node = nodes.select("node", "first", "n").join(comp, "node", "left").where("n > 1 OR comp IS NOT NULL").withColumn("class", F.coalesce("comp", "node"))
     # Equal rows of ``first`` are repeated rows of one document.

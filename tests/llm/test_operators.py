@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, exact, graph, lines, mixing, neardup, pii, quality, sharding, tokens, urls
+from tessera.llm import decontam, edits, exact, graph, lines, mixing, neardup, pii, quality, sharding, tokens, urls
 from tessera.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, source string"
@@ -453,6 +453,39 @@ def test_edit_distance():
     assert 80 < got.sum() < 1000
 
 
+def test_edit_distances_at_once():
+    """Many pairs at once are those that are found one by one, with few and with many characters."""
+    rng = random.Random(74)
+    for letters, exact in (("ab ", True), ("".join(map(chr, range(0x4E00, 0x5000))), False)):
+        texts = []
+        for _ in range(40):
+            own = "".join(rng.choices(letters, k=rng.randrange(1, 200)))
+            texts += [own, "".join(c for c in own if rng.random() > 0.15), own[rng.randrange(9) :] + "a b"]
+        codes = edits.Codes(texts)
+        rows, others = map(np.ravel, np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+        most = codes.lengths[rows] // 5
+        some = np.abs(codes.lengths[rows] - codes.lengths[others]) <= most
+        rows, others, most = rows[some], others[some], most[some]
+        asked = []
+        got = codes.within(rows, others, most, lambda x, y, m: asked.append(x) or lines.within(texts[x], texts[y], m))
+        want = [lines.within(texts[x], texts[y], m) for x, y, m in zip(rows.tolist(), others.tolist(), most.tolist())]
+        assert codes.exact == exact and got.tolist() == want and sum(want) > 150 and len(asked) < len(rows) // 2
+
+
+def test_pairs_are_compared_once(monkeypatch):
+    """Rows of one chunk of an earlier level are not compared again; the others are."""
+    rng = random.Random(75)
+    texts = [words(rng, 30).encode() for _ in range(12)]
+    texts[7] = texts[1] + b" x"
+    asked = []
+    alike = lines._Table.alike
+    monkeypatch.setattr(lines._Table, "alike", lambda self, x, y, s: asked.extend(zip(x.tolist(), y.tolist())) or alike(self, x, y, s))
+    of = lines._classes(texts, np.array([0, 12]), [(np.zeros(12, int), np.arange(12) // 6)], similarity=0.8)
+    pairs = {(min(p), max(p)) for p in asked}
+    assert len(pairs) == len(asked) and all(x < 6 <= y for x, y in pairs)
+    assert of[1] == of[7] and len(set(of.tolist())) == 11
+
+
 # 8
 
 
