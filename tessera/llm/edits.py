@@ -19,7 +19,11 @@ import numpy as np
 PAIRS, CELLS = 4096, 1 << 21
 #: So few pairs, and one more for each 24 characters, are compared one by one.
 FEW = 32
-_ONE, _TOP = np.uint64(1), np.uint64(63)
+#: Bins of the counts of two characters in a row, texts that are counted at once, and pairs whose counts are.
+BINS, COUNTED, PAIRS_COUNTED = 512, 2048, 4096
+#: Bits of the bins of three characters in a row.
+PLACED_BITS = 12
+_ONE, _TOP, _ALL = np.uint64(1), np.uint64(63), ~np.uint64(0)
 
 
 class Codes:
@@ -36,6 +40,80 @@ class Codes:
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def far(self, rows: np.ndarray, others: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which pairs are beyond ``most`` edits by their characters alone.
+
+        An edit takes at most one character from a text, and two places of two
+        characters in a row; so the edits are no fewer than the characters, or
+        half of the places, that either text has more often than the other.
+        Characters of one byte or bin, and counts beyond 32,767, are taken as
+        equal, which tells of fewer pairs, but of no wrong one.
+        """
+        out = np.zeros(len(rows), bool)
+        for edited in (1, 2):
+            some = np.flatnonzero(~out)
+            texts, which = np.unique(np.concatenate([rows[some], others[some]]), return_inverse=True)
+            counts = self._counts(texts, edited)
+            for a in range(0, len(some), PAIRS_COUNTED):
+                part = some[a : a + PAIRS_COUNTED]
+                more = counts[which[a : a + len(part)]] - counts[which[len(some) + a : len(some) + a + len(part)]]
+                left, right = np.maximum(more, 0).sum(axis=1, dtype=np.int64), -np.minimum(more, 0).sum(axis=1, dtype=np.int64)
+                out[part] = np.maximum(left, right) > edited * most[part]
+        return out
+
+    def apart(self, rows: np.ndarray, others: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which pairs are beyond ``most`` edits by the places of three characters in a row.
+
+        Where a path of so many edits leaves three characters as they are, they
+        stand in the other text, and no further off than the path can be there.
+        Of those that do not, each that overlaps none before takes an edit of
+        its own.  Places are known to a 64th of a text and characters by bins,
+        which tells of fewer pairs, but of no wrong one.
+        """
+        out = np.zeros(len(rows), bool)
+        order, last = np.argsort(others, kind="stable"), -1
+        parts = np.arange(64, dtype=np.uint64)
+        for i, x, y, bound in zip(order.tolist(), rows[order].tolist(), others[order].tolist(), most[order].tolist()):
+            n, m = int(self.lengths[x]), int(self.lengths[y])
+            if min(n, m) < 3:
+                continue
+            if y != last:
+                last, step, places = y, -(-m // 64), np.zeros(1 << PLACED_BITS, np.uint64)
+                np.bitwise_or.at(places, self._threes(y), np.repeat(_ONE << parts, step)[: m - 2])
+            skew, starts = m - n, np.arange(0, n - 2, step)
+            first = ((starts - (bound - skew) // 2) // step).clip(0, 63).astype(np.uint64)
+            end = ((starts + step - 1 + (bound + skew) // 2) // step).clip(0, 63).astype(np.uint64)
+            near = np.repeat(_ALL << first & _ALL >> _TOP - end, step)[: n - 2]
+            edited, free = 0, 0
+            for place in np.flatnonzero(places.take(self._threes(x)) & near == 0).tolist():
+                if place >= free:
+                    edited, free = edited + 1, place + 3
+                    if edited > bound:
+                        break
+            out[i] = edited > bound
+        return out
+
+    def _threes(self, text: int) -> np.ndarray:
+        """The bins of each three characters in a row of a text."""
+        start = int(self.starts[text])
+        own = self.flat[start : start + int(self.lengths[text])].astype(np.uint32)
+        return (own[:-2] << np.uint32(16) | own[1:-1] << np.uint32(8) | own[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - PLACED_BITS)
+
+    def _counts(self, texts: np.ndarray, in_a_row: int) -> np.ndarray:
+        """For each text how often it has each character, or each bin of two in a row."""
+        bins = self.n if in_a_row == 1 else BINS
+        out = np.zeros((len(texts), bins), np.int16)
+        for a in range(0, len(texts), COUNTED):
+            part = texts[a : a + COUNTED]
+            n = np.maximum(self.lengths[part] - in_a_row + 1, 0)
+            own = np.repeat(np.arange(len(part)), n)
+            at = np.arange(len(own)) + np.repeat(self.starts[part] - np.cumsum(n) + n, n)
+            bin_ = self.flat[at].astype(np.int64)
+            if in_a_row == 2:
+                bin_ = (bin_ << 8 | self.flat[at + 1]) * 40503 >> 7 & BINS - 1
+            out[a : a + len(part)] = np.bincount(own * bins + bin_, minlength=len(part) * bins).clip(max=32767).reshape(len(part), bins)
+        return out
+
     def within(self, rows: np.ndarray, others: np.ndarray, most: np.ndarray, one: Callable[[int, int, int], bool]) -> np.ndarray:
         """Which pairs are within ``most`` edits; ``one`` tells it of a single pair, and gets those of lengths that few pairs have."""
         out = np.zeros(len(rows), bool)

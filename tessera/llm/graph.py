@@ -214,26 +214,26 @@ def link_groups(
     later = range(1, len(levels) + 1) if once else range(0)
 
     def cross_links(table: pa.Table, bounds: np.ndarray) -> pa.Table:
-        comps, number = np.unique(np.array(table.column("comp").to_pylist(), object), return_inverse=True)
+        comp = table.column("comp").combine_chunks().dictionary_encode()
+        named, number = comp.dictionary, comp.indices.to_numpy().astype(np.int64)
         side = table.column("side").to_numpy()
-        chunks = [(table.column("home").to_numpy(), table.column("chunk").to_numpy())]
-        chunks += [(table.column(f"home{i}").to_numpy(), table.column(f"chunk{i}").to_numpy()) for i in later]
-        at, lists = table.column("bucket").to_numpy(), table.column("buckets").to_pylist()
+        chunks = [_chunk_numbers(table.column(f"home{i}").to_numpy(), table.column(f"chunk{i}").to_numpy()) for i in ("", *later)]
+        at, lists = table.column("bucket").to_numpy().tolist(), table.column("buckets").to_pylist()
 
         def pairs(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
             x, y = a + np.flatnonzero(side[a:b] == 2), a + np.flatnonzero(side[a:b] < 2)
             open_ = number[x][:, None] != number[y]
-            for home, chunk in chunks:
-                open_ &= (home[x][:, None] != home[y]) | (chunk[x][:, None] != chunk[y]) | (chunk[y] < 0)
+            for chunk in chunks:
+                open_ &= chunk[x][:, None] != chunk[y]
             # Two nodes outside of the largest class meet twice; rows are in order of node.
             open_ &= (side[y] == 0) | (x[:, None] < y)
-            for rows in (smaller := _members_of(lists, a, b, at[a])):
-                open_[np.ix_(np.isin(x, smaller[rows]), np.isin(y, smaller[rows]))] = False
             i, j = np.nonzero(open_)
-            return x[i], y[j]
+            x, y = x[i], y[j]
+            smaller = {row: {other for other in lists[row] if other < at[a]} for row in np.unique(np.concatenate([x, y])).tolist()}
+            here = np.fromiter((smaller[i].isdisjoint(smaller[j]) for i, j in zip(x.tolist(), y.tolist())), bool, len(x))
+            return x[here], y[here]
 
         a, b = cross(table.column("body").cast(pa.binary()).to_pylist(), bounds, side == 2, number, pairs)
-        named = pa.array(comps.tolist(), pa.binary())
         return pa.table({"a": named.take(pa.array(a, pa.int64())), "b": named.take(pa.array(b, pa.int64()))})
 
     links = blocks.join(of_node, "node")
@@ -244,14 +244,14 @@ def link_groups(
     return scratch.write(comp.join(after, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")), "comps")
 
 
-def _members_of(lists: list[list[int]], a: int, b: int, bucket: int) -> dict[int, list[int]]:
-    """Buckets less than ``bucket`` of several rows from a to b, and those rows."""
-    out: dict[int, list[int]] = {}
-    for row in range(a, b):
-        for other in lists[row]:
-            if other < bucket:
-                out.setdefault(other, []).append(row)
-    return {k: rows for k, rows in out.items() if len(rows) > 1}
+def _chunk_numbers(home: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """A number for each chunk; rows of none, marked by a chunk below 0, have one of their own."""
+    order = np.lexsort((chunk, home))
+    new = np.ones(len(order), np.int64)
+    new[1:] = (home[order][1:] != home[order][:-1]) | (chunk[order][1:] != chunk[order][:-1]) | (chunk[order][1:] < 0)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 class Joined:
@@ -284,6 +284,10 @@ class Joined:
     def add_pairs(self, rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         """``rows`` have been compared with all others, and x are like y."""
         self.done[rows] = True
+        self.add_links(x, y)
+
+    def add_links(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows x are like y."""
         np.add.at(self.links, x, 1)
         for row in np.unique(x):
             labels = np.unique(self.label[np.append(y[x == row], row)])

@@ -43,12 +43,12 @@ AT_ONCE = 64
 #: Bytes of groups whose pairs are compared at once: many, as pairs of about the same length go together.
 GROUPS_BYTES = 12 << 20
 _SLICE = 1 << 20
-#: Characters from which on passages in common are looked for before the edit distance.
-_LONG = 1000
 #: Digits as 0, and what is no letter, digit or line feed as a space.
 _PLAIN = bytes(b if b >= 0x80 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
 #: A character from U+3000 on: it counts as a word.
 _WIDE = re.compile(rb"[\xe3-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+#: The bytes that no such character begins with.
+_NARROW = bytes(range(0xE3))
 
 
 def normalised_line(line):
@@ -103,7 +103,7 @@ def _run_simhash(hashes: np.ndarray) -> np.ndarray:
 
 def line_blocks(texts: list[bytes], blocks: int = BLOCKS, few: int = FEW_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, key) of the blocks of normalised lines, in order of the texts."""
-    words = Words([_WIDE.sub(rb" \g<0> ", t) if max(t, default=0) > 0xE2 else t for t in texts])
+    words = Words([_WIDE.sub(rb" \g<0> ", t) if t.translate(None, _NARROW) else t for t in texts])
     hashes, counts, bounds = mix(words.hashes), np.diff(words.bounds), words.bounds
     owner = np.repeat(np.arange(len(texts)), counts)
     runs = np.flatnonzero(owner[: 1 - RUN] == owner[RUN - 1 :])
@@ -244,8 +244,9 @@ def _by_passages(x: str, y: str, most: int) -> bool:
     """Whether ``most`` edits do if what lies between passages in common is replaced; if not, fewer edits may do otherwise."""
     i, j, cost = 0, 0, 0
     while cost <= most and i < len(x) and j < len(y):
-        while x[i : i + 64] == y[j : j + 64] and i < len(x):
-            i, j = i + 64, j + 64
+        for step in (64, 8):
+            while x[i : i + step] == y[j : j + step] and i < len(x):
+                i, j = i + step, j + step
         while i < len(x) and j < len(y) and x[i] == y[j]:
             i, j = i + 1, j + 1
         if i >= len(x) or j >= len(y):
@@ -259,6 +260,11 @@ def _by_passages(x: str, y: str, most: int) -> bool:
     return cost + max(len(x) - i, len(y) - j, 0) <= most
 
 
+def near(x: str, y: str, most: int) -> bool:
+    """Whether passages in common show that the edit distance is at most ``most``."""
+    return _by_passages(*sorted((x, y), key=len), most)
+
+
 def within(x: str, y: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``; what both have in common at either end is cut first."""
     if len(x) > len(y):
@@ -273,7 +279,7 @@ def within(x: str, y: str, most: int) -> bool:
     while tail < len(x) and x[-1 - tail] == y[-1 - tail]:
         tail += 1
     x, y = x[: len(x) - tail], y[: len(y) - tail]
-    if len(y) <= most or (len(y) > _LONG and _by_passages(x, y, most)):
+    if len(y) <= most:
         return True
     # Lines that are unlike mostly are so far apart after two edits' worth of characters for each allowed one.
     part, less = 2 * most + 16, len(x) - len(y)
@@ -292,21 +298,40 @@ class _Table:
 
     def alike(self, rows: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
         """Which of the pairs have the edit similarity."""
-        most = np.floor((1 - similarity) * np.maximum(self.lengths[rows], self.lengths[others]) + 1e-9).astype(np.int64)
-        out = np.abs(self.lengths[rows] - self.lengths[others]) <= most
-        some = np.flatnonzero(out)
-        out[some] = self.codes.within(rows[some], others[some], most[some], lambda x, y, m: within(self.texts[x], self.texts[y], m))
+        out, open_ = self.told(rows, others, similarity)
+        out[open_] = self.exactly(rows[open_], others[open_], similarity)
         return out
 
+    def _most(self, rows: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+        return np.floor((1 - similarity) * np.maximum(self.lengths[rows], self.lengths[others]) + 1e-9).astype(np.int64)
+
+    def told(self, rows: np.ndarray, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are seen to have the edit similarity without a table of edits, and the places of those that are left open."""
+        most, out = self._most(rows, others, similarity), np.zeros(len(rows), bool)
+        some = np.flatnonzero(np.abs(self.lengths[rows] - self.lengths[others]) <= most)
+        some = some[~self.codes.far(rows[some], others[some], most[some])]
+        out[some] = [near(self.texts[x], self.texts[y], m) for x, y, m in zip(rows[some].tolist(), others[some].tolist(), most[some].tolist())]
+        some = some[~out[some]]
+        return out, some[~self.codes.apart(rows[some], others[some], most[some])]
+
+    def exactly(self, rows: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the pairs have the edit similarity, by tables of edits."""
+        return self.codes.within(rows, others, self._most(rows, others, similarity), lambda x, y, m: within(self.texts[x], self.texts[y], m))
+
 
 def _classes(bodies: list[bytes], bounds: np.ndarray, chunks: list = (), *, similarity: float) -> np.ndarray:
-    """Rows of all groups are compared in rounds; a group takes more rows at once after a round that joined few."""
+    """Rows of all groups are compared in rounds; a group takes more rows at once after a round that joined few.
+
+    What a round leaves open is compared last, all at once, where it still is across classes.
+    """
     table, out = _Table(bodies), np.arange(len(bodies))
     starts, sizes = bounds[:-1], np.diff(bounds)
     two = starts[sizes == 2]
     for home, chunk in chunks:
         two = two[(home[two] != home[two + 1]) | (chunk[two] != chunk[two + 1])]
-    out[two[table.alike(two, two + 1, similarity)] + 1] -= 1
+    like, open_two = table.told(two, two + 1, similarity)
+    out[two[like] + 1] -= 1
+    left = [(two[open_two], two[open_two] + 1)]
     open_ = [(a, Joined(n), 1) for a, n in zip(starts.tolist(), sizes.tolist()) if n > 2]
     done = []
     while open_:
@@ -321,24 +346,45 @@ def _classes(bodies: list[bytes], bounds: np.ndarray, chunks: list = (), *, simi
                 done.append(group)
         if not asked:
             break
-        alike = table.alike(*(np.concatenate(p) for p in zip(*pairs)), similarity)
+        both = tuple(np.concatenate(p) for p in zip(*pairs))
+        alike, unsure = table.told(*both, similarity)
+        left.append(tuple(p[unsure] for p in both))
         open_, end = [], 0
         for (a, joined, at_once), rows, x, y in asked:
             like = alike[end : end + len(x)]
             end += len(x)
             joined.add_pairs(rows, x[like], y[like])
             open_.append((a, joined, at_once if 8 * np.count_nonzero(like) > len(like) else min(2 * at_once, AT_ONCE)))
+    label = out.copy()
+    for a, joined, _ in done:
+        label[a : a + len(joined.label)] = a + joined.label
+    x, y = (np.concatenate(p) for p in zip(*left))
+    across = label[x] != label[y]
+    x, y = x[across], y[across]
+    like = table.exactly(x, y, similarity)
+    x, y = x[like], y[like]
+    pairs_of_two = sizes[np.searchsorted(starts, x, side="right") - 1] == 2
+    out[y[pairs_of_two]] -= 1
+    x, y = x[~pairs_of_two], y[~pairs_of_two]
     for a, joined, _ in done:
-        out[a : a + len(joined.label)] = a + joined.members()
+        n = len(joined.label)
+        here = (x >= a) & (x < a + n) if len(x) else ()
+        if np.any(here):
+            joined.add_links(x[here] - a, y[here] - a)
+        out[a : a + n] = a + joined.members()
     return out
 
 
 def _cross(bodies: list[bytes], bounds: np.ndarray, outside: np.ndarray, comps: np.ndarray, pairs, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """What is left open is compared where no pair is known to link the same classes."""
     table = _Table(bodies)
     x, y = (np.concatenate(p) for p in zip(*(pairs(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))))
-    like = table.alike(x, y, similarity)
-    links = np.unique(np.sort(np.stack([comps[x[like]], comps[y[like]]], axis=1), axis=1), axis=0)
-    return links[:, 0], links[:, 1]
+    like, left = table.told(x, y, similarity)
+    link = np.minimum(comps[x], comps[y]) * len(bodies) + np.maximum(comps[x], comps[y])
+    left = left[~np.isin(link[left], link[like])]
+    like[left] = table.exactly(x[left], y[left], similarity)
+    links = np.unique(link[like])
+    return links // len(bodies), links % len(bodies)
 
 
 def _judge(docs: DataFrame, text: str, row_id: str, similarity: float, least_chars: int) -> tuple[DataFrame, DataFrame]:

@@ -486,6 +486,44 @@ def test_pairs_are_compared_once(monkeypatch):
     assert of[1] == of[7] and len(set(of.tolist())) == 11
 
 
+def test_few_pairs_need_a_table_of_edits(monkeypatch):
+    """Bounds and passages tell of most pairs, and of none wrongly; classes are those of all pairs, though what is left open is compared last."""
+    rng = random.Random(76)
+    for letters in ("ab", "abcdefgh \u00e9", "".join(map(chr, range(0x4E00, 0x5000)))):
+        texts = []
+        for _ in range(50):
+            own = "".join(rng.choices(letters, k=rng.randrange(150)))
+            texts += [own, "".join(c for c in own if rng.random() > 0.12), own[9:] + own[: rng.randrange(30)]]
+        table = lines._Table([t.encode() for t in texts])
+        rows, others = map(np.ravel, np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+        like, left = table.told(rows, others, 0.8)
+        most = np.floor(0.2 * np.maximum(table.lengths[rows], table.lengths[others]) + 1e-9).astype(int).tolist()
+        want = np.array([lines.within(texts[x], texts[y], m) for x, y, m in zip(rows.tolist(), others.tolist(), most)])
+        settled = np.ones(len(rows), bool)
+        settled[left] = False
+        assert (like[settled] == want[settled]).all() and not like[left].any()
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(n))
+    common = own(12)
+    texts = [f"{own(30)} {common} {own(30)}" for _ in range(40)] + ["the " * 90 + own(10), "of " * 120 + own(10)]
+    texts += [" ".join(w if rng.random() < 0.85 else own(1) for w in t.split()) for t in texts[:20]]
+    asked = []
+    exactly = lines._Table.exactly
+    monkeypatch.setattr(lines._Table, "exactly", lambda self, x, y, s: asked.extend(x.tolist()) or exactly(self, x, y, s))
+    of = lines._classes([t.encode() for t in texts], np.array([0, len(texts)]), similarity=0.8)
+    label = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if lines.within(texts[x], texts[y], int(0.2 * max(len(texts[x]), len(texts[y])) + 1e-9)):
+                label = [label[y] if z == label[x] else z for z in label]
+    assert len(set(zip(of.tolist(), label))) == len(set(of.tolist())) == len(set(label)) < len(texts) - 10
+    assert len(asked) < 200  # of 1891 pairs
+
+
+def test_chunk_numbers():
+    got = graph._chunk_numbers(np.array([5, 5, 5, 0, 0, 7]), np.array([1, 0, 1, -1, -1, 1])).tolist()
+    assert got[0] == got[2] and len(set(got)) == 5
+
+
 # 8
 
 
